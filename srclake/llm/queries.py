@@ -36,3 +36,17 @@ def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import origin
 
     return origin.file_labels(table(spark, folder, "source_files")).groupBy("repo_id", "language", "label").agg(F.count("*").alias("files"))
+
+
+@query()
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import syntax
+
+    return syntax.invalid(table(spark, folder, "source_files"))
+
+
+@query()
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import syntax
+
+    return syntax.rates(table(spark, folder, "source_files"))
