@@ -50,3 +50,18 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import syntax
 
     return syntax.rates(table(spark, folder, "source_files"))
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import credentials
+
+    return credentials.scan_all(table(spark, folder, "source_files"), table(spark, folder, "chunks")).select("origin", "row_id", "line_no")
+
+
+@query()
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that hold credentials, with these masked in place."""
+    from srclake.llm import credentials
+
+    return credentials.scan_all(table(spark, folder, "source_files"), table(spark, folder, "chunks"), redact=True)
