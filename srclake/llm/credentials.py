@@ -63,7 +63,7 @@ _KEY_BLOCK = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
     r"(?P<value>(?:(?:\\[nr]|[\s\"'`+,*#/\\.;()|>-]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*)*[A-Za-z0-9+/=]{16,})+)"
 )
-_KEY_TEXT = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_KEY_TEXT = re.compile(r"(?:(?<=\\[nr])|(?<![\\A-Za-z0-9+/=]))[A-Za-z0-9+/=]{16,}")
 #: Words that may begin a credential's context, by the rules that are then tried. Found in one pass over a lowered text.
 _WORDS = {
     "name": ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key", "pass", "pw"],
@@ -95,7 +95,7 @@ _PLACEHOLDER = re.compile(
 )
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _NO_SECRET_NAME = re.compile(r"(?:_|\.|-|^)(?:name|field|type|size|count|limit|length|total|index|position|status|state|label|url|uri|path|file|hash|digest|checksum|sha\d*|md5|algorithm|id|header|kind|format|expiry|ttl|version)s?$|(?:Name|Field|Type|Size|Count|Limit|Length|Total|Index|Position|Status|State|Label|Url|Path|File|Hash|Digest|Checksum|Header|Kind|Format|Expiry|Ttl|Version)$", re.I)
-_CALL = re.compile(r"^[A-Za-z_][\w.:]*\(|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^[A-Za-z_]\w*\[")
+_CALL = re.compile(r"^[A-Za-z_][\w.:]*\(|^[A-Za-z_]\w*(?:\.[A-Za-z_]+)+$|^[A-Za-z_]\w*\[")
 CONFIGURATION = ("ini", "env", "yaml", "yml", "json", "properties", "toml", "cfg", "conf", "txt")
 
 
