@@ -65,3 +65,27 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import credentials
 
     return credentials.scan_all(table(spark, folder, "source_files"), table(spark, folder, "chunks"), redact=True)
+
+
+_P4 = """
+SELECT 'source_files' AS origin, file_id AS row_id FROM source_files
+WHERE length(content) > (SELECT min(max_chars) FROM split_limits WHERE origin = 'source_files')
+UNION ALL
+SELECT 'chunks' AS origin, chunk_seq AS row_id FROM chunks
+WHERE length(code) > (SELECT min(max_chars) FROM split_limits WHERE origin = 'chunks')
+"""
+
+
+@query(_P4)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import splitting
+
+    found = splitting.pieces_all(*(table(spark, folder, t) for t in ("source_files", "chunks", "split_limits")), with_text=False)
+    return found.where("piece_no = 1").select("origin", "row_id")
+
+
+@query()
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import splitting
+
+    return splitting.pieces_all(*(table(spark, folder, t) for t in ("source_files", "chunks", "split_limits")))
