@@ -89,3 +89,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import splitting
 
     return splitting.pieces_all(*(table(spark, folder, t) for t in ("source_files", "chunks", "split_limits")))
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with documentation of their own; what a method inherits is not its own."""
+    from srclake.llm import docpairs
+
+    return docpairs.documented(table(spark, folder, "chunks")).where("doc_source <> 'inherited'").select("chunk_seq")
+
+
+@query()
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import docpairs
+
+    return docpairs.pairs(table(spark, folder, "chunks"))
