@@ -104,3 +104,20 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import docpairs
 
     return docpairs.pairs(table(spark, folder, "chunks"))
+
+#: TESTDATA.md sets three-word sequences and 0.7 for this problem.
+P6 = {"threshold": 0.7, "width": 3, "least_words": 40}
+
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import neardup
+
+    return neardup.expand(*neardup.near_duplicates(table(spark, folder, "chunks"), **P6))
+
+
+@query()
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import neardup
+
+    return neardup.groups(*neardup.near_duplicates(table(spark, folder, "chunks"), **P6))
