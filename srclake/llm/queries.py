@@ -121,3 +121,17 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import neardup
 
     return neardup.groups(*neardup.near_duplicates(table(spark, folder, "chunks"), **P6))
+
+
+@query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import leakage
+
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+@query()
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import leakage
+
+    return leakage.clean(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
