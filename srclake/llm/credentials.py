@@ -18,14 +18,13 @@ the line on which the credential begins; a repeated row is reported under its ow
 
 from __future__ import annotations
 
-import base64
 import re
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import TOKENIZER_DIR, map_rows
+from srclake.llm.common import TOKENIZER_DIR, encoder, map_rows
 
 #: Characters per subword under which a literal is unnatural. Between words (4 and more) and random text (2 and less).
 UNNATURAL = 3.4
@@ -99,17 +98,6 @@ _CALL = re.compile(r"^[A-Za-z_][\w.:]*\(|^[A-Za-z_]\w*(?:\.[A-Za-z_]+)+$|^[A-Za-
 CONFIGURATION = ("ini", "env", "yaml", "yml", "json", "properties", "toml", "cfg", "conf", "txt")
 
 
-@cache
-def encoder(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.tiktoken"):
-    """A tiktoken encoder of a public vocabulary, loaded once a worker."""
-    import tiktoken
-
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the vocabulary's own
-    with open(f"{folder}/{name}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def characters_per_subword(value: str, folder: str = TOKENIZER_DIR) -> float:
     return len(value) / max(1, len(encoder(folder).encode_ordinary(value)))
 

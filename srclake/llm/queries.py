@@ -135,3 +135,38 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import leakage
 
     return leakage.clean(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_shares(spark, folder).where("short").select("source")
+
+
+@query()
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import mixing
+
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.token_lengths(table(spark, folder, "documents"), targets), targets)
+
+
+@query()
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import mixing
+
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query()
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from srclake.llm import reading
+
+    return reading.levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).where("level = 4").select("doc_id")
+
+
+@query()
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per source, language and level."""
+    from srclake.llm import reading
+
+    return reading.profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
