@@ -8,9 +8,9 @@ carried over from overlap to Jaccard similarity by prefixes:
   tokens. Any order gives exact results; this one keeps boilerplate out of prefixes.
 - If J(A, B) >= t then A and B share at least c tokens among the first n - ceil(t n) + c of each. Those prefixes are
   posted, and tokens that one class alone has posted are dropped at once.
-- Light classes enumerate the pairs (c = 2) of what is left of their prefix and meet on equal pairs. Heavy classes meet each
-  other, and the light ones near enough in size, on inverted lists of single tokens (c = 1). The size that parts light
-  from heavy is the one with the least cost by a histogram of both costs over all classes.
+- c is 2. Light classes enumerate the pairs of what is left of their prefix and meet on equal pairs. Heavy classes meet
+  each other, and the light ones near enough in size, on inverted lists of single tokens, and two common ones make a
+  candidate. The size that parts light from heavy is the one with the least cost by a histogram of both over all classes.
 - Candidates are verified on the whole sets.
 
 Lists longer than LIST are cut into blocks and joined block by block, classes of more members than LIST likewise, so
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from srclake.llm.common import is_routine, map_rows, stable
 
 #: Counters of the sketch that orders tokens.
-SKETCH = 1 << 18
+SKETCH = 1 << 16
 #: Postings of one key that are joined in one go.
 LIST = 2000
 
+#: Cost of a posted subset against that of a pair from a list.
+SUBSET = 3.0
+
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -75,58 +78,76 @@ def _blocks(count: Column) -> Column:
     return F.ceil(count / F.lit(LIST)).cast("int")
 
 
-def shingle_sets(chunks: DataFrame, width: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: cls, n, tokens, members), (membership: chunk_seq, cls). cls is the least chunk_seq of the class."""
-    rows = chunks.where(is_routine() & F.col("code").isNotNull()).select("chunk_seq", "code")
-
-    def sets():
-        shingles = shingler(width, least_words)
-        import xxhash
-
-        def one(seq, code):
-            tokens = shingles(code)
-            if tokens is None:
-                return []
-            data = tokens.tobytes()
-            return [(seq, xxhash.xxh3_128_digest(data), len(tokens), tokens)]
-
-        return one
-
-    seen = stable(map_rows(rows, sets, "seq bigint, sig binary, n int, tokens array<bigint>"))
-    ids = seen.groupBy("sig").agg(F.min("seq").alias("cls"), F.count("*").alias("members"))
-    membership = seen.select("seq", "sig").join(ids, "sig").select(F.col("seq").alias("chunk_seq"), "cls", "members")
-    firsts = ids.select(F.col("cls").alias("seq"), "members")
-    classes = seen.join(firsts, "seq").select(F.col("seq").alias("cls"), "n", "tokens", "members")
-    return stable(classes), membership
-
+def signatures(chunks: DataFrame, width: int, least_words: int) -> tuple[DataFrame, object]:
+    """(membership: chunk_seq, cls, members), (sketch: how often tokens of each of SKETCH buckets occur).
 
-def _sketch(classes: DataFrame):
-    """How often tokens of each of SKETCH buckets occur."""
+    cls is the least chunk_seq with the same shingle set. One pass gives both: a row for each text, and each task's counters.
+    """
     import numpy as np
 
-    def tally(batches):
+    def scan(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
+        shingles = shingler(width, least_words)
         total = np.zeros(SKETCH, dtype=np.int64)
+        names = ["seq", "sig", "bucket", "cnt"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-            total += np.bincount(_bucket(flat), minlength=SKETCH)
+            seqs, sigs = [], []
+            for seq, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = shingles(code)
+                if tokens is not None:
+                    np.add.at(total, _bucket(tokens), 1)
+                    seqs.append(seq)
+                    sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, types[0]), pa.array(sigs, types[1]), pa.nulls(len(seqs), types[2]), pa.nulls(len(seqs), types[3])], names=names)
         at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "cnt"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), types[0]), pa.nulls(len(at), types[1]), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
-    counted = classes.select("tokens").mapInArrow(tally, "bucket int, cnt bigint").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toPandas()
+    seen = stable(_texts(chunks).mapInArrow(scan, "seq bigint, sig binary, bucket int, cnt bigint"))
+    ids = seen.where("seq IS NOT NULL").groupBy("sig").agg(F.min("seq").alias("cls"), F.count("*").alias("members"))
+    membership = stable(seen.where("seq IS NOT NULL").select("seq", "sig").join(ids, "sig").select(F.col("seq").alias("chunk_seq"), "cls", "members"))
+    counted = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toPandas()
     sketch = np.zeros(SKETCH, dtype=np.int64)
     sketch[counted["bucket"].to_numpy(dtype=np.int64)] = counted["cnt"].to_numpy()
-    return sketch
+    return membership, sketch
+
+
+def _texts(chunks: DataFrame) -> DataFrame:
+    return chunks.where(is_routine() & F.col("code").isNotNull()).select("chunk_seq", "code")
+
+
+def prefixes(texts: DataFrame, sketch, threshold: Fraction, width: int, least_words: int) -> DataFrame:
+    """cls, n, tokens: of each text, set size and the prefix in which similar sets share two tokens."""
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)  # SKETCH counters, whatever the input
+    num, den = threshold.numerator, threshold.denominator
+
+    def first():
+        import numpy as np
+
+        shingles = shingler(width, least_words)
+        counts = shared.value
+
+        def one(seq, code):
+            tokens = shingles(code)
+            if tokens is None:
+                return []
+            size = len(tokens)
+            need = -(-num * size // den)  # ceil(t n)
+            order = np.lexsort((tokens, counts[_bucket(tokens)]))[: size - need + 2]
+            return [(seq, size, tokens[order])]
+
+        return one
+
+    return map_rows(texts, first, "cls bigint, n int, tokens array<bigint>")
 
 
 def _bucket(tokens):
     import numpy as np
 
-    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 16)).astype(np.int64)
 
 
 def _join_on(postings: DataFrame, key: list[str], keep: Column) -> DataFrame:
@@ -139,48 +160,21 @@ def _join_on(postings: DataFrame, key: list[str], keep: Column) -> DataFrame:
     return left.join(right, [*key, "i", "j"]).where((F.col("a") < F.col("b")) & keep).select("a", "b")
 
 
-def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+def similar_classes(chunks: DataFrame, membership: DataFrame, sketch, threshold: float, width: int, least_words: int) -> DataFrame:
     """a, b (class ids, a < b), jaccard of every two classes with at least the threshold."""
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator
-    sketch = _sketch(classes)
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # SKETCH counters, whatever the input
-
-    def prefixes(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        counts = shared.value
-        for b in batches:
-            cls, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            offsets = b.column(2).offsets.to_numpy()
-            flat = b.column(2).values.to_numpy(zero_copy_only=False)
-            df = counts[_bucket(flat)]
-            out_cls, out_n, out_tokens, out_rank = [], [], [], []
-            for k in range(len(cls)):
-                lo, hi = offsets[k], offsets[k + 1]
-                size = int(hi - lo)
-                need = -(-num * size // den)  # ceil(t n)
-                length = min(size, size - need + 2)
-                order = np.lexsort((flat[lo:hi], df[lo:hi]))[:length]
-                out_tokens.append(flat[lo:hi][order])
-                out_rank.append(np.arange(length, dtype=np.int32) < size - need + 1)
-                out_cls.append(np.full(length, cls[k], dtype=np.int64))
-                out_n.append(np.full(length, size, dtype=np.int32))
-            if out_cls:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (out_cls, out_n, out_tokens, out_rank)], names=["cls", "n", "token", "first"]
-                )
-
-    posted = classes.select("cls", "n", "tokens").mapInArrow(prefixes, "cls bigint, n int, token bigint, first boolean")
+    one_each = membership.where("chunk_seq = cls").select("cls")
+    prefixed = stable(prefixes(_texts(chunks), sketch, t, width, least_words).join(one_each, "cls", "left_semi"))
+    posted = prefixed.select("cls", "n", F.explode("tokens").alias("token"))
     # Tokens that only one class has posted meet nobody. Counting by token keeps the rest with the length of its list.
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = stable(posted.join(often, "token"))
-    # Cost by size: subsets that a class as a light one posts, against postings that it reads on lists as a heavy one.
+    # Cost by size: subsets that a class as a light one posts (sorted and shuffled SUBSET times as wide as a pair), against
+    # pairs that it takes part in on lists as a heavy one.
     step = F.floor(F.log2("n") * 4).cast("int")
     per_class = met.groupBy("cls", "n").agg(F.count("*").alias("s"), F.sum("df").alias("lists")).withColumn("step", step)
-    costs = per_class.groupBy("step").agg(F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("light"), F.sum("lists").alias("heavy")).orderBy("step").collect()
+    costs = per_class.groupBy("step").agg(F.sum(SUBSET * F.col("s") * (F.col("s") - 1) / 2).alias("light"), F.sum(F.col("lists") / 2).alias("heavy")).orderBy("step").collect()
     boundary = heavy_from(costs)
     met = met.withColumn("heavy", F.col("n") >= boundary)
     na, nb = F.col("na").cast("bigint"), F.col("nb").cast("bigint")
@@ -192,12 +186,19 @@ def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     subsets = firsts.select("cls", "n", F.lit(False).alias("heavy"), "t1", F.explode(F.slice("ts", F.col("p") + 2, F.size("ts"))).alias("t2"))
     subsets = subsets.where("t2 IS NOT NULL")
     found = _join_on(subsets, ["t1", "t2"], fits)
-    # Heavy with heavy, and with light ones that are near enough in size: single tokens of the shorter prefix.
-    singles = met.where(F.col("first") & (F.col("n").cast("bigint") * den >= F.lit(int(boundary) * num))).select("cls", "n", "heavy", "token")
-    found = found.unionByName(_join_on(singles, ["token"], fits & (F.col("ha") | F.col("hb"))))
+    # Heavy with heavy, and with light ones that are near enough in size: lists of single tokens, counting common ones.
+    singles = met.where(F.col("n").cast("bigint") * den >= F.lit(int(boundary) * num)).select("cls", "n", "heavy", "token")
+    scanned = _join_on(singles, ["token"], fits & (F.col("ha") | F.col("hb"))).groupBy("a", "b").agg(F.count("*").alias("common"))
+    found = found.unionByName(scanned.where("common > 1").select("a", "b"))
     candidates = stable(found.distinct())
     needed = candidates.select(F.col("a").alias("cls")).unionByName(candidates.select(F.col("b").alias("cls"))).distinct()
-    whole = stable(classes.select("cls", "tokens").join(needed, "cls", "left_semi"))
+    again = _texts(chunks).join(needed.withColumnRenamed("cls", "chunk_seq"), "chunk_seq", "left_semi")
+
+    def sets():
+        shingles = shingler(width, least_words)
+        return lambda seq, code: [(seq, shingles(code))]
+
+    whole = stable(map_rows(again, sets, "cls bigint, tokens array<bigint>"))
     left = whole.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     right = whole.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     sized = candidates.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
@@ -218,8 +219,8 @@ def heavy_from(costs: list) -> int:
 
 def near_duplicates(chunks: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 40) -> tuple[DataFrame, DataFrame]:
     """(membership: chunk_seq, cls, members), (links between classes: a, b, jaccard)."""
-    classes, membership = shingle_sets(chunks, width, least_words)
-    return membership, similar_classes(classes, threshold)
+    membership, sketch = signatures(chunks, width, least_words)
+    return membership, similar_classes(chunks, membership, sketch, threshold, width, least_words)
 
 
 def expand(membership: DataFrame, links: DataFrame) -> DataFrame:
