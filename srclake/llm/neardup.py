@@ -163,6 +163,8 @@ def _join_on(postings: DataFrame, key: list[str], keep: Column) -> DataFrame:
 def similar_classes(chunks: DataFrame, membership: DataFrame, sketch, threshold: float, width: int, least_words: int) -> DataFrame:
     """a, b (class ids, a < b), jaccard of every two classes with at least the threshold."""
     t = Fraction(str(threshold))
+    if not Fraction(1, 2) < t <= 1:
+        raise ValueError("the threshold must be over 0.5 and at most 1: sets of two or more then share two tokens")
     num, den = t.numerator, t.denominator
     one_each = membership.where("chunk_seq = cls").select("cls")
     prefixed = stable(prefixes(_texts(chunks), sketch, t, width, least_words).join(one_each, "cls", "left_semi"))
