@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srclake.plans.lineage import stable  # noqa: F401 - used by the operators
+
 #: Last extension of a path -> language. Fixed values of the data description.
 LANGUAGE_OF_EXTENSION = {
     "py": "python", "js": "javascript", "ts": "typescript", "java": "java",
@@ -52,19 +53,6 @@ def encoder(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local
-    one is chosen.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(os.environ.get("TMPDIR", "/tmp"), "srclake-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def map_rows(df: DataFrame, rows: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
     """Arrow-batched flat map. ``rows()`` runs once a task and gives a function of a row's values that gives
     output rows; batches are written out every few thousand rows or megabytes, so one large text never gathers
