@@ -23,20 +23,34 @@ def not_ignored(files: DataFrame, path: str = "rel_path") -> DataFrame:
     return files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED_DIRECTORIES))))
 
 
-def scan(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of files without a byte, which Spark's file sources skip; a listing on the driver, as Spark's own is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found, files = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            found.append((f.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
+def scan(spark: SparkSession, root: str, repo_id: str | None = None, empty_files: bool = True) -> DataFrame:
     """SRC-1: repo_id, path, rel_path, language, content of the known files under root.
 
     Extensions prune the listing, ignored directories the paths, both before any content is read. Bytes that are not
-    UTF-8 are dropped.
+    UTF-8 are dropped. ``empty_files`` costs a second listing.
     """
     root = os.path.abspath(root)
     glob = "*.{" + ",".join(e[1:] for e in CORE) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    raw = raw.select("path", "content")
+    if empty_files:
+        raw = raw.unionByName(_empty_files(spark, root).where(detect("path") != "unknown"))
     path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
     rel = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
     files = not_ignored(raw.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), rel.alias("rel_path"), "content"))
-    text = F.coalesce(F.try_to_binary(F.lit("")).cast("string"), F.lit(""))
-    # decode() replaces what is not UTF-8; U+FFFD made by it goes, one that stood in the file stays with the rest.
+    # What is not UTF-8 becomes U+FFFD and goes; in files that are valid nothing is touched.
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(
         F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     )
