@@ -50,11 +50,11 @@ class: K name? ext? { member* }
 ext: X expr
 member: M* u? mname ( params? ) block | M* mname = expr ; | M* mname ; | ; | M* block
 mname: name | s | n | [ expr ]
-imp: U name | U s | U spec A s | U name , spec A s | U name A s | U u Z name A s
-spec: { names? } | u Z name
+imp: U name | U s | U spec A s | U name , spec A s | U name A s | U u A name A s
+spec: { names? } | u A name
 names: iname moreiname* | iname moreiname* ,
 moreiname: , iname
-iname: mname | mname Z name
+iname: mname | mname A name | L A name
 exported: M func | M class | M V binding morebind* ; | M L expr ; | M L func | M L class | M spec ; | M spec A s ; | M u A s ;
 post: . name | . mname | ( args? ) | [ expr ] | q | s
 pre: u | v | q | w
@@ -339,7 +339,7 @@ morepar: , param
 param: attr* pat annot | self | e
 self: n | u n | u t n | u M n | M n | n annot | u t M n
 annot: : type
-ret: a type
+ret: y type
 type: path | u type | u t type | u M type | u t M type | [ type ] | [ type ; expr ] | ( types? ) | v | w type morebound2* | P ( types? ) ret? | u V type | T | F < t > type
 morebound2: u bound
 path: pseg cc3* | . pseg cc3* | < type A type > cc3*

@@ -38,7 +38,7 @@ _OPERATORS = r">>>=|<<=|>>=|\*\*=|&&=|\|\|=|\?\?=|===|!==|\.\.\.|\.\.=|\+\+|--|\
 _TOKENS = {
     "javascript": re.compile(rf"[\w$]+(?:\.\d+)*|\x01|\n|{_OPERATORS.replace('|//=?', '').replace('|::', '').replace('|:=', '').replace('|<-', '').replace('|->', '')}|\S"),
     "go": re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|\n|{_OPERATORS.replace('|//=?', '')}|\S"),
-    "python": re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|\n|{_OPERATORS.replace('|&&', '').replace('|<-', '')}|\S"),
+    "python": re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|\n|{_OPERATORS.replace('|&&', '').replace('|<-', '').replace('|::', '').replace(r'|\+\+', '').replace('|--', '')}|\S"),
 }
 _TOKENS["typescript"] = _TOKENS["javascript"]
 for _k in ("java", "c", "cpp", "rust"):
@@ -113,7 +113,7 @@ KINDS = {
     "java": _kinds(_PUNCTUATION + "\n= >>>=\nZ instanceof\na ->\n@ @\nI if\nE else\nD do try finally\nW while switch catch synchronized\nF for\nC case\nL default\nR return throw assert yield\nB break continue\nM public private protected static final abstract native transient volatile strictfp\nK class interface enum\nX extends implements throws\nU package import\nN new\nT int long double float boolean char byte short void var\nn true false null"),
     "c": _kinds(_PUNCTUATION + "\n. ->\nI if\nE else\nD do\nW while switch\nF for\nC case\nL default\nR return\nB break continue goto\nM const static extern volatile register inline restrict auto typedef _Noreturn _Atomic\nK struct union enum\nT int long double float char short void signed unsigned bool _Bool size_t\nw sizeof _Alignof\nA _Static_assert\nn NULL true false"),
     "cpp": _kinds(_PUNCTUATION + "\n. ->\ny ::\nI if\nE else\nD do try\nW while switch catch\nF for\nC case\nL default delete\nR return throw co_return co_yield\nB break continue goto\nM const static extern volatile register inline typedef constexpr consteval constinit virtual explicit friend mutable public private protected override final thread_local noexcept\nK class struct union enum typename namespace\nT int long double float char short void signed unsigned bool auto\nw sizeof decltype alignof typeid alignas co_await\nN new\nP template\nU using\nA operator static_assert\nn nullptr true false NULL this"),
-    "rust": _kinds(_PUNCTUATION + "\n. ::\no ..=\ne .. \na -> =>\nI if\nE else\nF for\nW while loop where match\nR return\nB break continue\nM pub mut\nK struct enum trait impl union mod type macro\nU use\nV let const static dyn\nP fn\nw async await unsafe move ref\nA as\nZ in\nn true false self\n# #\n@ @\n? ?\nv !"),
+    "rust": _kinds(_PUNCTUATION + "\n. ::\no ..=\ne .. \na =>\ny ->\nI if\nE else\nF for\nW while loop where match\nR return\nB break continue\nM pub mut\nK struct enum trait impl union mod type macro\nU use\nV let const static dyn\nP fn\nw async await unsafe move ref\nA as\nZ in\nn true false self\n# #\n@ @\n? ?\nv !"),
     "python": _kinds(_PUNCTUATION.replace("% |", "% // |").replace("v ! ~", "v ~").replace("q ++ --", "").replace("&& ||", "").replace("u + - * &", "u + - *\no &") + "\n@ @\n= := //= @=\na ->\no ** and or is\nv not\nZ in\nI if elif while\nE else\nD try finally\nF for\nW W\nH with\nX except\nP def\nK class\nR return raise\nB pass break continue\nw await async yield\nU import\nG global nonlocal\nl lambda\nn None True False\nA as from\nw assert del"),
 }
 KINDS["go"]["~"] = "v"

@@ -42,6 +42,10 @@ PRODUCTIONS = [
     ("java", r"ii\.", r"^U"),
     ("java", r"iii", r"^$"),
     ("go", r"iii", r"^$"),
+    ("javascript", r"^Ui\.", r"^$"),
+    ("typescript", r"^Ui\.", r"^$"),
+    ("javascript", r"[ou]x:", r"[?CL]"),
+    ("typescript", r"[ou]x:", r"[?CL]"),
 ]
 
 _SPLIT = re.compile(r"[;{}]")
