@@ -38,15 +38,15 @@ _LINE = re.compile(
     r"^(?:[ \t]*(?:>|\$ |%|File \"|at [\w.$<>]+\(|Traceback\b|Caused by|//|/?\*{1,2}[/ ]?$|\{|\[|<[a-z/!]|\d{4}-\d\d-\d\d|[|]|#!|goroutine |panic:|thread '|stack backtrace|\d+: 0x)|(?:    |\t)|[ \t]*[\w.]*(?:Error|Exception)\b).*$",
     re.M,
 )
-_INLINE = re.compile(r"`[^`\n]*`|\b\w+://\S+|\S+@\S+|\S*[/_\\={}<>]\S*|\b\w+(?:\.\w+)+\(?\S*|\w+\(\S*")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word of running text: no part of a path, a call, a dotted name, an address or a quoted name.
+_WORD = re.compile(r"(?<![\w./\\=`@])[^\W\d_]+(?![\w/\\={@`(]|\.\w|://)")
 
 
 def prose_words(text: str) -> list[str]:
     """Lower-case words of the running text."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("", text)
-    return _WORD.findall(_INLINE.sub(" ", _LINE.sub("", text)).lower())
+    return _WORD.findall(_LINE.sub("", text).lower())
 
 
 def formula_level(text: str) -> int | None:
