@@ -70,3 +70,24 @@ def embed_with(texts: DataFrame, id_: str, text: str, client: Callable[[list[str
             yield frame[[id_]].assign(embedding=out)
 
     return texts.select(id_, text).mapInPandas(run, f"{id_} bigint, embedding array<float>")
+
+
+def reduce(weights: DataFrame, id_: str, dim: int = 512) -> DataFrame:
+    """EMB-2, an option: id, vector: weights of one collection projected on their leading min(dim, V - 1, N - 1) directions.
+
+    The terms' second moments are summed on the executors; the driver holds V rows of ``dim`` numbers, V being at most
+    VOCABULARY. Signs of directions are arbitrary, as always.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    terms = weights.select("term").distinct().orderBy("term").withColumn("at", F.row_number().over(Window.orderBy("term")) - 1)
+    v, n = terms.count(), weights.select(id_).distinct().count()
+    if not n:
+        return weights.select(id_).withColumn("vector", F.array().cast("array<double>")).limit(0)
+    k = min(dim, max(1, v - 1), max(1, n - 1))
+    sparse = weights.join(F.broadcast(terms), "term").groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("w"))
+    rows = sparse.rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(v, [x["at"] for x in r["w"]], [x["weight"] for x in r["w"]])))
+    matrix = IndexedRowMatrix(rows, numCols=v)
+    projected = matrix.multiply(matrix.computeSVD(k, computeU=False).V)
+    return projected.rows.map(lambda r: (r.index, r.vector.toArray().tolist())).toDF(f"{id_} bigint, vector array<double>")

@@ -298,3 +298,12 @@ def test_incremental(spark):
 
 def test_html(spark):
     assert "<pre>x</pre>b<br>c" in one(spark, docs.html(F.col("t")), t="```x```b\nc")
+
+
+def test_reduce(spark):
+    texts = spark.createDataFrame([("r", k, x) for k, x in enumerate(["a b c", "a b d", "x y", "x y z", "c d e"])], "repo_id string, id bigint, text string")
+    model, counts = embedding.fit(texts, ["repo_id"], "id")
+    w = embedding.transform(counts, model, ["repo_id"], "id")
+    got = {r[0]: r[1] for r in embedding.reduce(w, "id", 3).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
+    assert all(len(v) == 3 for v in got.values()) and dot(2, 3) > 0.5 > abs(dot(0, 2)) and embedding.reduce(w.limit(0), "id").count() == 0
