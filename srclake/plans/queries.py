@@ -422,13 +422,13 @@ def bug_explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT repo_id, src, dst, arg_max(relationship, edge_seq) AS relationship, arg_max(internal, edge_seq) FILTER (WHERE internal IS NOT NULL) AS internal
+SELECT repo_id, src, dst, arg_max(relationship, edge_seq) AS relationship, (arg_max(internal, edge_seq) FILTER (WHERE internal IS NOT NULL))::VARCHAR AS internal
 FROM graph_edges GROUP BY ALL
 """)
 def graph_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     """GRF-9, GRQ-6: one edge per pair of nodes, the last one written; a null internal leaves the one before."""
     e = edges(spark, folder)
-    return e.groupBy("repo_id", "src", "dst").agg(F.max_by("relationship", "seq").alias("relationship"), F.max_by("internal", F.when(F.col("internal").isNotNull(), F.col("seq"))).alias("internal"))
+    return e.groupBy("repo_id", "src", "dst").agg(F.max_by("relationship", "seq").alias("relationship"), F.max_by("internal", F.when(F.col("internal").isNotNull(), F.col("seq"))).cast("string").alias("internal"))
 
 
 @query("""

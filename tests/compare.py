@@ -7,11 +7,12 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def normal(df) -> list[tuple]:
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         if isinstance(x, decimal.Decimal):
             x = float(x)
