@@ -116,10 +116,14 @@ class _Rows(dict):
 
 def levels(documents: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> DataFrame:
     """doc_id, words (of prose), level (NULL for tiny texts), confidence (posterior of the level)."""
+    return _score(documents.select("doc_id", "text", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang")), train(documents, labels, sample, vocabulary)).drop("source", "lang")
+
+
+def _score(rows: DataFrame, trained) -> DataFrame:
     import numpy as np
 
-    of, log, prior = train(documents, labels, sample, vocabulary)
-    model = documents.sparkSession.sparkContext.broadcast((of, np.vstack([log, np.zeros((1, LEVELS))]), prior))
+    of, log, prior = trained
+    model = rows.sparkSession.sparkContext.broadcast((of, np.vstack([log, np.zeros((1, LEVELS))]), prior))  # VOCABULARY rows at most
 
     def score():
         import numpy as np
@@ -127,21 +131,21 @@ def levels(documents: DataFrame, labels: DataFrame | None, sample: int = SAMPLE,
         of, log, prior = model.value
         of = _Rows(of)
 
-        def one(doc_id, text):
+        def one(doc_id, text, source, lang):
             words = prose_words(text) if text else []
             if len(words) < MIN_WORDS:
-                return [(doc_id, len(words), None, None)]
+                return [(doc_id, source, lang, len(words), None, None)]
             at = np.fromiter(map(of.__getitem__, words), dtype=np.int64, count=len(words))
             s = log[at].sum(axis=0) + prior
             best = int(s.argmax())
-            return [(doc_id, len(words), best + 1, float(1 / np.exp(s - s[best]).sum()))]
+            return [(doc_id, source, lang, len(words), best + 1, float(1 / np.exp(s - s[best]).sum()))]
 
         return one
 
-    return map_rows(documents.select("doc_id", "text"), score, "doc_id bigint, words int, level int, confidence double")
+    return map_rows(rows, score, "doc_id bigint, source string, lang string, words int, level int, confidence double")
 
 
 def profile(documents: DataFrame, labels: DataFrame | None) -> DataFrame:
     """source, lang, level, documents: how demanding the collection is (source and lang without case and outer blanks)."""
-    keyed = documents.select("doc_id", key_text("source").alias("source"), key_text("lang").alias("lang"))
-    return keyed.join(levels(documents, labels), "doc_id").groupBy("source", "lang", "level").agg(F.count("*").alias("documents"))
+    rows = documents.select("doc_id", "text", key_text("source").alias("source"), key_text("lang").alias("lang"))
+    return _score(rows, train(documents, labels)).groupBy("source", "lang", "level").agg(F.count("*").alias("documents"))

@@ -93,6 +93,7 @@ def test_inheritance(spark):
     df = spark.createDataFrame([(*v, "x", "y") for v in values], "chunk_seq bigint, repo_id string, file_path string, kind string, name string, code string, docstring string, description string, owner string")
     assert rows(docpairs.documented(df).select("chunk_seq", "doc_source")) == [(4, "code"), (4, "code"), (5, "inherited"), (6, "inherited")]
     assert docpairs.documented(df.limit(0)).count() == 0
+    assert docpairs.pairs(df).count() == 4
     assert docpairs.pairs(df).where("chunk_seq = 6").first()["description"].startswith("Runs all jobs")
 
 
