@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclake.functions.pythoncode import CHUNK_COLUMNS, python_chunks
@@ -37,17 +37,19 @@ def symbols(files: DataFrame, key: list[str], fixed: bool = False) -> DataFrame:
     """CHK-6, CHK-7: key, kind, name, start_line, end_line, code. A symbol ends before the next one; what comes before the first
     is dropped. A noise word as a function's name lets the line be tried as a class."""
     function, class_ = (FIXED_FUNCTION_LINE, FIXED_CLASS_LINE) if fixed else (FUNCTION_LINE, CLASS_LINE)
-    numbered = files.select(*key, lines("content").alias("all"), F.posexplode(lines("content")).alias("at", "line"))
-    f, c = F.regexp_extract("line", function, 1), F.regexp_extract("line", class_, 1)
-    named = numbered.withColumn("f", f).withColumn("c", c)
-    is_f = (F.col("f") != "") & ~F.col("f").isin(NOISE)
-    is_c = (F.col("c") != "") & ~F.col("c").isin(NOISE)
-    found = named.where(is_f | is_c).select(
-        *key, "all", (F.col("at") + 1).alias("start_line"), F.when(is_f, "function").otherwise("class").alias("kind"), F.when(is_f, F.col("f")).otherwise(F.col("c")).alias("name")
-    )
-    following = F.lead("start_line").over(Window.partitionBy(*key).orderBy("start_line"))
-    ended = found.withColumn("end_line", F.greatest(F.coalesce(following - 1, F.size("all")), F.col("start_line")))
-    return ended.select(*key, "kind", "name", "start_line", "end_line", F.array_join(F.slice("all", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"))
+
+    def symbol(line: Column, at: Column) -> Column:
+        f, c = F.regexp_extract(line, function, 1), F.regexp_extract(line, class_, 1)
+        is_f, is_c = (f != "") & ~f.isin(NOISE), (c != "") & ~c.isin(NOISE)
+        return F.struct((at + 1).alias("start_line"), F.when(is_f, "function").when(is_c, "class").alias("kind"), F.when(is_f, f).otherwise(c).alias("name"))
+
+    # All within a file's own row: no line is copied around, and nothing is shuffled.
+    found = files.select(*key, lines("content").alias("all")).withColumn("found", F.filter(F.transform("all", symbol), lambda s: s["kind"].isNotNull()))
+    each = found.select(*key, "all", "found", F.posexplode("found").alias("k", "s"))
+    following = F.get("found", F.col("k") + 1)["start_line"]
+    end = F.greatest(F.coalesce(following - 1, F.size("all")), F.col("s.start_line"))
+    code = F.array_join(F.slice("all", F.col("s.start_line"), end - F.col("s.start_line") + 1), "\n")
+    return each.select(*key, "s.kind", "s.name", "s.start_line", end.alias("end_line"), code.alias("code"))
 
 
 def chunk(files: DataFrame, chunker: str = "whole_file", fixed: bool = False) -> DataFrame:

@@ -36,17 +36,24 @@ def vocabulary(counts: DataFrame, by: list[str], size: int = VOCABULARY) -> Data
 def fit(texts: DataFrame, by: list[str], id_: str, text: str = "text", size: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(model: by, term, df, idf; counts: by, id, term, tf). N counts every text, also those without a word."""
     counts = term_counts(texts, by, id_, text)
-    n = texts.groupBy(*by).agg(F.count("*").alias("texts"))
     vocab = vocabulary(counts, by, size)
-    joined = vocab.join(F.broadcast(n), by) if by else vocab.crossJoin(F.broadcast(n))
-    return joined.select(*by, "term", "df", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf")), counts
+    if by:
+        vocab = vocab.join(texts.groupBy(*by).agg(F.count("*").alias("texts")), by)
+    else:
+        vocab = vocab.withColumn("texts", F.lit(texts.count()))
+    return vocab.select(*by, "term", "df", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf")), counts
+
+
+def norms(counts: DataFrame, model: DataFrame, by: list[str], id_: str) -> DataFrame:
+    """by, id, norm: length of each text's vector before it is made 1."""
+    w = F.col("tf") * F.col("idf")
+    return counts.join(model, [*by, "term"]).groupBy(*by, id_).agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
 def transform(counts: DataFrame, model: DataFrame, by: list[str], id_: str) -> DataFrame:
     """EMB-3: by, id, term, weight (unit length by id); terms outside the model are ignored, and a text without any has no row."""
     raw = counts.join(model, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy(*by, id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, [*by, id_]).select(*by, id_, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms(counts, model, by, id_), [*by, id_]).select(*by, id_, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def embed_with(texts: DataFrame, id_: str, text: str, client: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:

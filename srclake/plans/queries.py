@@ -94,8 +94,9 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    model, weights = model_of(spark, folder)
-    return retrieval.text_search(weights, model, asked(spark, folder), ["repo_id"], "chunk_seq", "report_id", "error_report", k)
+    model, counts = embedding.fit(texts(spark, folder), ["repo_id"], "chunk_seq")
+    lengths = embedding.norms(counts, model, ["repo_id"], "chunk_seq")
+    return retrieval.text_search(counts, model, asked(spark, folder), ["repo_id"], "chunk_seq", "report_id", "error_report", k, lengths)
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
