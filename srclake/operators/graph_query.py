@@ -79,6 +79,14 @@ def unused_files(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.select("repo_id", "rel_path").distinct().join(edges.select("repo_id", F.col("dst").alias("rel_path")).distinct(), ["repo_id", "rel_path"], "left_anti")
 
 
+def unused_summary(files: DataFrame, edges: DataFrame, most: int = 15) -> DataFrame:
+    """RET-10: repo_id, n, first (the first unused files by name)."""
+    u = unused_files(files, edges)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("rel_path"))
+    first = u.withColumn("r", place).where(F.col("r") <= most).groupBy("repo_id").agg(F.sort_array(F.collect_list("rel_path")).alias("first"))
+    return u.groupBy("repo_id").agg(F.count("*").alias("n")).join(first, "repo_id")
+
+
 def neighbours(edges: DataFrame, targets: DataFrame, limit: int = 20, seq: str = "seq") -> DataFrame:
     """RET-8, GRQ-4: repo_id, file, src, dst, relationship, place: out-edges, then in-edges, without repeats, the first 20."""
     out = edges.join(targets.select("repo_id", F.col("file").alias("src")), ["repo_id", "src"], "left_semi").withColumn("file", F.col("src")).withColumn("way", F.lit(0))

@@ -461,15 +461,8 @@ SELECT repo_id, 'Found ' || len(fs) || ' file(s) with zero inbound import refere
 """)
 def unused_answer(spark: SparkSession, folder: str) -> DataFrame:
     """RET-10; the list is cut to 15."""
-    from pyspark.sql import Window
-
-    u = unused_files(spark, folder)
-    total = u.groupBy("repo_id").agg(F.count("*").alias("n"))
-    first = u.withColumn("r", F.row_number().over(Window.partitionBy("repo_id").orderBy("rel_path"))).where("r <= 15")
-    listed = first.groupBy("repo_id").agg(F.sort_array(F.collect_list("rel_path")).alias("fs")).join(total, "repo_id")
-    more = F.when(F.col("n") > 8, F.concat(F.lit(" (and "), (F.col("n") - 8).cast("string"), F.lit(" more)"))).otherwise("")
-    text = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" file(s) with zero inbound import references: "), F.array_join(F.slice("fs", 1, 8), ", "), more, F.lit(". These may be entry points, tests, or genuinely unused code."))
-    return listed.select("repo_id", text.alias("answer"), F.array_join("fs", " ").alias("listed"))
+    u = graph_query.unused_summary(t(spark, folder, "source_files"), edges(spark, folder))
+    return u.select("repo_id", retrieval.unused_answer(F.col("first"), F.col("n")).alias("answer"), F.array_join("first", " ").alias("listed"))
 
 
 @query(f"""
