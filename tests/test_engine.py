@@ -38,6 +38,11 @@ def test_engine(spark, tmp_path):
     patch = e.generate_patch("demo", report)
     assert patch["status"] == "pending" and patch["syntax_valid"] and patch["has_changes"] and patch["git_diff"].startswith("diff --git")
     assert e.set_patch_status(patch["patch_id"], "approved", "x = 2\n")["git_diff"].endswith("+x = 2\n")
+    assert patch["rag_context_chunks"][0]["file"] == "pkg/store.py"
+    assert e.set_patch_status(patch["patch_id"], "applied")["status"] == "applied" and (tmp_path / "repo/pkg/store.py").read_text() == "x = 2\n"
+    assert len(list((tmp_path / "repo/pkg").glob("store.py.*.bak"))) == 1
+    (tmp_path / "repo/pkg/store.py").unlink()
+    assert e.set_patch_status(patch["patch_id"], "applied")["status"] == "approved"
     assert [r["status"] for r in e.list_patches("demo").collect()] == ["approved"] and e.set_patch_status("no", "rejected") is None
     assert e.history("chat", "demo").count() == 3 and e.history("bugs", "demo").count() == 2
     assert e.blast_radius("demo", "pkg/store.py") == ["pkg/login.py"]

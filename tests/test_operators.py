@@ -307,3 +307,17 @@ def test_reduce(spark):
     got = {r[0]: r[1] for r in embedding.reduce(w, "id", 3).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
     assert all(len(v) == 3 for v in got.values()) and dot(2, 3) > 0.5 > abs(dot(0, 2)) and embedding.reduce(w.limit(0), "id").count() == 0
+
+
+def test_patched_files(tmp_path):
+    from srclake.sources import files
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    assert not files.write_patched(str(tmp_path), "../b.py", "")["success"] and not files.write_patched(str(tmp_path), "no.py", "")["success"]
+    diff = diff_of("x = 1\n", "x = 2\n", "a.py")
+    assert not files.apply_diff(str(tmp_path), " ")["valid"]
+    checked = files.apply_diff(str(tmp_path), diff, check_only=True)
+    assert checked["valid"] and (tmp_path / "a.py").read_text() == "x = 1\n"
+    assert files.apply_diff(str(tmp_path), diff)["valid"] and (checked["skipped"] or (tmp_path / "a.py").read_text() == "x = 2\n")
+    done = files.write_patched(str(tmp_path), "a.py", "x = 3\n")
+    assert done["success"] and (tmp_path / "a.py").read_text() == "x = 3\n" and open(done["backup"]).read()
