@@ -117,14 +117,14 @@ def split(text: str, limit: int, overlap: int, first_line: int = 1) -> list[tupl
 
 def pieces(rows: DataFrame, limits: DataFrame, origin: str, row_id: str, text: str, start_line: str | None = None, with_text: bool = True) -> DataFrame:
     """origin, row_id, piece_no, piece_count, start_offset, end_offset, start_line, end_line[, piece] of the rows over the limit."""
-    limit = limits.where(F.col("origin") == origin).agg(
-        F.min_by(F.struct("max_chars", "overlap_chars"), F.struct("max_chars", "overlap_chars")).alias("by")
-    ).select("by.*").where("max_chars IS NOT NULL")
+    given = limits.where((F.col("origin") == origin) & F.col("max_chars").isNotNull())
+    limit = given.orderBy("max_chars", F.col("overlap_chars").desc_nulls_last()).select("max_chars", "overlap_chars").first()
+    most, overlap = limit or (None, None)
     picked = rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text"), (F.coalesce(F.col(start_line), F.lit(1)) if start_line else F.lit(1)).alias("first"))
-    long = picked.join(F.broadcast(limit), F.length("text") > F.col("max_chars"))
+    long = picked.where(F.length("text") > most if limit else F.lit(False))
 
     def cut():
-        def one(row_id, text, first, most, overlap):
+        def one(row_id, text, first):
             found = split(text, most, overlap, first)
             return [(origin, row_id, p[0], len(found), *(p[1:] if with_text else p[1:5])) for p in found]
 
