@@ -109,7 +109,16 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
 P6 = {"threshold": 0.7, "width": 3, "least_words": 40}
 
 
-@query()
+_P6 = """
+WITH f AS (SELECT chunk_seq, regexp_extract_all(code, '[A-Za-z0-9_]+') AS a FROM chunks WHERE lower(trim(kind)) IN ('function', 'method') AND code IS NOT NULL),
+s AS (SELECT DISTINCT chunk_seq, a[k] || ' ' || a[k + 1] || ' ' || a[k + 2] AS g FROM (SELECT chunk_seq, a, unnest(range(1, len(a) - 1)) AS k FROM f WHERE len(a) >= 40)),
+n AS (SELECT chunk_seq, count(*) AS n FROM s GROUP BY chunk_seq),
+j AS (SELECT x.chunk_seq AS a, y.chunk_seq AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.chunk_seq < y.chunk_seq GROUP BY ALL)
+SELECT a AS chunk_seq_a, b AS chunk_seq_b FROM j JOIN n na ON na.chunk_seq = a JOIN n nb ON nb.chunk_seq = b WHERE 10 * c >= 7 * (na.n + nb.n - c)
+"""
+
+
+@query(_P6)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import neardup
 
@@ -123,7 +132,16 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, folder, "chunks"), **P6))
 
 
-@query()
+_P7 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS a FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(a[k:k + 11], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 10)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(a[k:k + 11], ' ') AS g FROM (SELECT item_id, a, unnest(range(1, len(a) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
+@query(_P7)
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     from srclake.llm import leakage
 

@@ -51,8 +51,9 @@ def test_pieces(spark):
     assert splitting.pieces_all(files, chunks, limits.limit(0)).count() == 0 and splitting.pieces_all(files.limit(0), chunks.limit(0), limits).count() == 0
 
 
-def test_p4_as_sql(spark):
-    same(spark, SMALL, q.QUERIES["p4_found"], q.ORACLES["p4_found"])
+@pytest.mark.parametrize("name", sorted(q.ORACLES))
+def test_as_sql(spark, name):
+    same(spark, SMALL, q.QUERIES[name], q.ORACLES[name])
 
 
 TELLS = [("Looks a user up by name.", "find_user"), ("TODO: tidy up. Seconds to wait before giving up.", "f"), ("True when the mast is vacant.", "is_vacant"), (":param a: the number of rows to keep", "f"), ("@return the sum of all prices", "f"), ("Prüft, ob der Wert passt, und verwirft ältere Einträge.", "f"), ("Return the first match of the list.", "f"), ("FIXME later. Not safe for two threads at once.", "f")]
