@@ -10,8 +10,8 @@ How it runs: one Arrow pass reads each text once and keeps five numbers a file.
 so they are combined before the shuffle and a directory (or repository) with a third of all files is no hot
 spot. The sweeps work on directories only, one level at a time; each level is cut off with a checkpoint.
 
-Defined results: null or empty content has no content evidence (location and name still count); rows whose path has
-none of the eight extensions, or a null path, are left out; a null repo_id is a repository of its own; repeated
+Defined results: null or empty content has no content evidence (location and name still count), and null content never goes
+out; rows whose path has none of the eight extensions, or a null path, are left out; a null repo_id is a repository of its own; repeated
 rows each get their row; an empty table gives an empty result.
 """
 
@@ -92,13 +92,13 @@ def file_evidence(rel_path: str | None, text: str | None) -> list[float]:
         e[gen] += 6
     if MINIFIED_NAME.search(name):
         e[mini] += 6
-    if not text:
-        e[blob] -= 2
-        e[mini] -= 2
+    if not text:  # nothing speaks for it but where it lies and how it is named
+        for label in (gen, mini, vend, blob):
+            e[label] -= 3
         return e
     if GENERATED_BY.search(text):
         e[gen] += 9
-    e[vend] += 9 if VENDORED_FROM.search(text) else -2.6
+    e[vend] += 9 if VENDORED_FROM.search(text) else -3
     repeats, data, blanks, longest = texture(text)
     e[gen] += 7 if repeats > 0.6 and data < 0.5 else 3 if repeats > 0.45 and data < 0.5 else -3
     e[blob] += 9 if data > 0.6 and len(text) >= 200 else 2 if data > 0.4 else -5
@@ -215,5 +215,5 @@ def file_labels(files: DataFrame) -> DataFrame:
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
-    """file_id of the rows that go out."""
-    return file_labels(files).where(F.col("label") != LABELS[0]).select("file_id")
+    """file_id of the rows that go out; a row without content is none."""
+    return file_labels(files.where("content IS NOT NULL")).where(F.col("label") != LABELS[0]).select("file_id")
