@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srclake.functions.text import words
+from srclake.plans.lineage import stable
 
 VOCABULARY = 20_000
 #: Texts sent to a remote model at once, and characters of each.
@@ -34,14 +35,17 @@ def vocabulary(counts: DataFrame, by: list[str], size: int = VOCABULARY) -> Data
 
 
 def fit(texts: DataFrame, by: list[str], id_: str, text: str = "text", size: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(model: by, term, df, idf; counts: by, id, term, tf). N counts every text, also those without a word."""
-    counts = term_counts(texts, by, id_, text)
+    """(model: by, term, df, idf; counts: by, id, term, tf). N counts every text, also those without a word.
+
+    Both are read several times by every search, so they are written once (checkpoints) instead of being worked out again.
+    """
+    counts = stable(term_counts(texts, by, id_, text))
     vocab = vocabulary(counts, by, size)
     if by:
         vocab = vocab.join(texts.groupBy(*by).agg(F.count("*").alias("texts")), by)
     else:
         vocab = vocab.withColumn("texts", F.lit(texts.count()))
-    return vocab.select(*by, "term", "df", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf")), counts
+    return stable(vocab.select(*by, "term", "df", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))), counts
 
 
 def norms(counts: DataFrame, model: DataFrame, by: list[str], id_: str) -> DataFrame:
