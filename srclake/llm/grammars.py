@@ -2,7 +2,8 @@
 
 A grammar is text: ``name: alternative | alternative``; a symbol of one character is a token class, a longer one a
 rule, ``rule*`` and ``rule?`` repeat it or leave it out. ``pairs`` derives from FIRST and LAST sets which two
-classes may stand next to each other. The classes are those of ``lexing``.
+classes may stand next to each other; ``windows`` derives which three may, where a bracketed group is one class
+(FOLD) for what is around it and a text of its own inside. The classes are those of ``lexing``.
 
 Token classes: i name, x name right after an operator, n number or literal word, s string, o binary operator, u operator
 that is binary or prefix, v prefix operator, q ++ or --, = assignment, a arrow, e ellipsis or range, and words by what follows:
@@ -525,3 +526,108 @@ def derive(rules: dict[str, list[list[str]]], start: str = "file") -> set[str]:
 @cache
 def pairs(language: str) -> frozenset[str]:
     return frozenset(derive(parse(GRAMMARS[language])))
+
+
+#: What a bracketed group is to the text around it.
+FOLD = {"(": "\u2460", "[": "\u2461", "{": "\u2462"}
+#: What counts as one class in windows, because the text is shortened likewise (``syntax.levels``): Java's annotations, Go's
+#: function heads and the methods of its interfaces.
+SHORTENED = {
+    "java": [("ann: @ i dots* annargs? | @ K", "ann: @")],
+    "go": [("P recv? i generic? ( params? )", "P"), ("P ( params? )", "P"), ("| i ( params? ) result?", "| P result?")],
+}
+
+
+def outline(rules: dict[str, list[list[str]]]) -> tuple[dict[str, list[list[str]]], dict[str, list[list[str]]]]:
+    """(rules with their bracketed groups folded, the groups of each rule)."""
+    folded: dict[str, list[list[str]]] = {}
+    groups: dict[str, list[list[str]]] = {}
+    for rule, alternatives in rules.items():
+        folded[rule], groups[rule] = [], []
+        for seq in alternatives:
+            stack: list[list[str]] = [[]]
+            for s in seq:
+                if s in FOLD:
+                    stack.append([s])
+                elif s in (")", "]", "}"):
+                    group = stack.pop()
+                    groups[rule].append([*group, s])
+                    stack[-1].append(FOLD[group[0]])
+                else:
+                    stack[-1].append(s)
+            folded[rule].append(stack[0])
+    return folded, groups
+
+
+def derive_windows(rules: dict[str, list[list[str]]], start: str = "file") -> set[str]:
+    """Three consecutive classes that some folded sentence of the grammar, or some group of it, can have."""
+    folded, groups = outline(rules)
+    found: set[str] = set()
+
+    def base(symbol: str) -> str:
+        return symbol[:-1] if len(symbol) > 1 and symbol[-1] in "*?" else symbol
+
+    reachable, todo = {start}, [start]
+    while todo:
+        rule = todo.pop()
+        for s in (base(x) for seq in folded[rule] + groups[rule] for x in seq):
+            if len(s) > 1 and s not in reachable:
+                reachable.add(s)
+                todo.append(s)
+    # Of each rule: texts of under two classes, and the first and last two classes of longer ones.
+    nothing = ({""}, set(), set())
+    known: dict[str, tuple[set[str], set[str], set[str]]] = {r: (set(), set(), set()) for r in reachable}
+
+    def joined(a, b):
+        short, heads, tails = set(), set(a[1]), set(b[2])
+        for x in a[0] | a[2]:
+            for y in b[0] | b[1]:
+                z = x + y
+                found.update(z[i : i + 3] for i in range(len(z) - 2))
+                if x in a[0] and y in b[0] and len(z) < 2:
+                    short.add(z)
+                    continue
+                if x in a[0] and len(z) >= 2:
+                    heads.add(z[:2])
+                if y in b[0] and len(z) >= 2:
+                    tails.add(z[-2:])
+        return short, heads, tails
+
+    def either(a, b):
+        return tuple(x | y for x, y in zip(a, b))
+
+    def of(seq):
+        so_far = nothing
+        for s in seq:
+            b = base(s)
+            v = ({b}, set(), set()) if len(b) == 1 else known[b]
+            if b != s:
+                one, v = v, either(nothing, v)
+                while s[-1] == "*":
+                    more = either(v, joined(v, one))
+                    if more == v:
+                        break
+                    v = more
+            so_far = joined(so_far, v)
+        return so_far
+
+    changed = True
+    while changed:
+        changed = False
+        for rule in reachable:
+            before = known[rule]
+            for seq in folded[rule]:
+                known[rule] = either(known[rule], of(seq))
+            changed |= before != known[rule]
+    for rule in reachable:
+        for group in groups[rule]:
+            of(group)
+    return found
+
+
+@cache
+def windows(language: str) -> frozenset[str]:
+    text = GRAMMARS[language]
+    for long, short in SHORTENED.get(language, []):
+        text = text.replace(long, short)
+    return frozenset(derive_windows(parse(text)))

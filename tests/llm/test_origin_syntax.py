@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclake.llm import origin, syntax
-from srclake.llm.grammars import GRAMMARS, derive, pairs, parse
+from srclake.llm.grammars import GRAMMARS, derive, derive_windows, pairs, parse
 from srclake.llm.lexing import lex, unmatched
 from tests.conftest import rows
 
@@ -122,3 +122,21 @@ def test_rates(spark):
 def test_extra_columns_clash(spark):
     df = table(spark, ("r", "a.py", "python", "x = (")).withColumns({c: F.lit("z") for c in ("lang", "reason", "what", "at", "ch", "repo", "dir", "m0")})
     assert rows(syntax.invalid(df)) == [(0,)] and origin.file_labels(df).count() == 1
+
+
+TWO = {
+    "x.py": "a() b()\n", "x.js": "function f() { a() b(); }\n", "x.ts": "function f() { a() b(); }\n", "x.java": "class A { @B(1) int x; void f() { a() b(); } }\n", "x.go": "package a\nfunc f() { a() b() }\n",
+    "x.c": "int f() { a() b(); }\n", "x.cpp": "int f() { a() b(); }\n", "x.rs": "pub(crate) fn f() { a() b(); }\n",
+}
+
+
+def test_statements_at_their_own_depth(spark):
+    """A missing end between two calls shows in every language; brackets inside a statement do not cut it."""
+    good = [("x.py", "def f(x={}): pass\nif k in {1, 2}: pass\n"), ("x.js", "z = y ? f({ a: 1 }) + x : w\n"), ("x.go", "package a\ntype T interface {\n  F(a int) (int, error)\n  G() int\n}\nfunc (x *T) f(a int) int { return func(a int) int { return 1 }(2) }\n"), ("x.java", "class A { @B(1) @C int x; @Override public void f() { int y = (int) x; } }\n")]
+    df = table(spark, *[("r", p, None, t) for p, t in good], *[("r", p, None, t) for p, t in TWO.items()], *[("r", p, None, t.replace(") b", ")\n b" if p in ("x.py", "x.go") else "); b").replace("\n b", "\nb")) for p, t in TWO.items()])
+    assert rows(syntax.invalid(df)) == [(k,) for k in range(len(good), len(good) + len(TWO))]
+
+
+def test_windows():
+    rules = parse("file: $ item* $\nitem: a b? ; | c ( item ) ;")
+    assert derive_windows(rules) == {"$a;", "$ab", "ab;", "b;$", "b;a", "b;c", ";ab", ";a;", "a;$", "a;a", "a;c", "$c①", "c①;", "①;$", "①;a", "①;c", ";c①", "(a;", "a;)", "(ab", "b;)", "(c①", "①;)"}
