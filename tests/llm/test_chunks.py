@@ -98,6 +98,21 @@ def test_inheritance(spark):
     assert docpairs.pairs(df).where("chunk_seq = 6").first()["description"].startswith("Runs all jobs")
 
 
+def test_inheritance_from_the_own_file(spark):
+    """Equal class names in a repository stay apart; a base is first that of the same file."""
+    doc = "def run(self):\n    '''%s until none is left.'''"
+    empty = "def run(self): pass"
+    values = [
+        (1, "a.py", "class", "Base", "class Base:"), (2, "a.py", "method", "Base.run", doc % "Sends letters"), (3, "b.py", "class", "Base", "class Base:"), (4, "b.py", "method", "Base.run", doc % "Starts engines"),
+        (5, "b.py", "class", "C", "class C(Base):"), (6, "b.py", "method", "C.run", empty), (7, "c.py", "class", "Root", "class Root:"), (8, "c.py", "method", "Root.run", doc % "Opens gates"),
+        (9, "c.py", "class", "Base", "class Base(Root):"), (10, "c.py", "class", "D", "class D(Base):"), (11, "c.py", "method", "D.run", empty), (12, "d.py", "class", "E", "class E(Base):"), (13, "d.py", "method", "E.run", empty),
+        (14, "e.py", "method", "C.run", empty), (15, "f.py", "class", "Base", "class Base(m.Base):"), (16, "f.py", "method", "Base.run", empty),
+    ]
+    df = spark.createDataFrame([(k, "r", p, kind, name, code, None) for k, p, kind, name, code in values], "chunk_seq bigint, repo_id string, file_path string, kind string, name string, code string, docstring string")
+    got = {r["chunk_seq"]: r["description"].split()[0] for r in docpairs.documented(df).where("doc_source = 'inherited'").collect()}
+    assert got == {6: "Starts", 11: "Opens", 13: "Sends", 14: "Starts", 16: "Sends"}
+
+
 def brute(texts, threshold, width, least):
     sets = {}
     for k, x in texts:
