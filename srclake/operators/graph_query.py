@@ -43,11 +43,12 @@ def blast_radius(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return (out if out is not None else frontier.withColumn("distance", F.lit(0))).where("id <> start")
 
 
-def cycles(edges: DataFrame, longest: int = 6, relationships: list[str] | None = None) -> DataFrame:
-    """GRQ-2: repo_id, cycle (from its least node on), length of the elementary cycles of 2 to ``longest`` nodes.
+def cycles(edges: DataFrame, longest: int | None = None, relationships: list[str] | None = None) -> DataFrame:
+    """GRQ-2: repo_id, cycle (from its least node on), length of all elementary cycles of two and more nodes.
 
-    Paths grow from their least node, so each cycle is found once. Nodes that cannot lie on a cycle (no way in or no
-    way out) are pruned away first, round by round, which on most graphs leaves little to walk.
+    Paths grow from their least node until none is left, so each cycle is found once; ``longest`` ends that earlier. Nodes
+    that cannot lie on a cycle (no way in or no way out) are pruned away first, round by round, which on most graphs
+    leaves little to walk. Strongly tangled parts have exponentially many cycles, and all of them are listed.
     """
     kinds = relationships or IMPORTS
     e = stable(simple(edges.where(F.col("relationship").isin(kinds))).where("src <> dst"))
@@ -60,17 +61,21 @@ def cycles(edges: DataFrame, longest: int = 6, relationships: list[str] | None =
             break
     step = e.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("next"))
     paths = e.where("src < dst").select("repo_id", F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
-    out = None
-    for length in range(2, longest + 1):
+    out, length = None, 2
+    while True:
         grown = paths.join(step, ["repo_id", "at"])
         closed = grown.where(F.col("next") == F.col("path")[0]).select("repo_id", F.col("path").alias("cycle"), F.lit(length).alias("length"))
+        # Read once per round, so that a later union does not join all rounds again.
+        closed = stable(closed)
         out = closed if out is None else out.unionByName(closed)
-        if length < longest:
-            paths = stable(
-                grown.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select("repo_id", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"))
-            )
-            if paths.isEmpty():
-                break
+        if length == longest:
+            break
+        paths = stable(
+            grown.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select("repo_id", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"))
+        )
+        if paths.isEmpty():
+            break
+        length += 1
     return out
 
 

@@ -498,7 +498,7 @@ _CYCLES_SQL = """
 
 @query(f"WITH RECURSIVE {_CYCLES_SQL} SELECT repo_id, array_to_string(path, ' > ') AS cycle, len(path)::INT AS length FROM c")
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """GRQ-2, up to six nodes."""
+    """GRQ-2, of any length; the SQL stops at six nodes."""
     return graph_query.cycles(edges(spark, folder)).select("repo_id", F.array_join("cycle", " > ").alias("cycle"), "length")
 
 

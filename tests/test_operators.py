@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from srclake.functions import text as T
 from srclake.functions.languages import detect, detect_for_patch
 from srclake.functions.pythoncode import chunks_of, diff_of, facts_of, fix_of, syntax_error
-from srclake.operators import bugs, chunking, docs, embedding, graph_build, graph_query, incremental, patches, retrieval, review, traces, vectors
+from srclake.operators import analytics, bugs, chunking, docs, embedding, graph_build, graph_query, incremental, patches, retrieval, review, traces, vectors
 from srclake.sources import history, repository, stores
 from tests.conftest import rows
 
@@ -199,6 +199,18 @@ def test_cycles(spark):
     assert graph_query.cycles(edges_of(spark, ("a", "b"))).count() == 0
 
 
+def test_long_cycles(spark):
+    """A cycle of any length counts, and costs health."""
+    nine = [(a, b) for a, b in zip("abcdefghi", "bcdefghia")]
+    e = edges_of(spark, *nine, ("c", "a"), ("i", "z"))
+    assert rows(graph_query.cycles(e).select(F.array_join("cycle", ""), "length")) == [("abc", 3), ("abcdefghi", 9)]
+    assert graph_query.cycles(e, longest=6).count() == 1
+    seven = edges_of(spark, *zip("abcdefg", "bcdefga"))
+    counted = graph_query.cycles(seven).groupBy("repo_id").agg(F.count("*").alias("cycles"))
+    assert rows(counted) == [("r", 1)]
+    assert one(spark, analytics.health(F.lit(counted.first()["cycles"]), F.lit(0), F.lit(7), F.lit(0)), t="") == 90.0
+
+
 def test_degrees_unused_neighbours(spark):
     e = edges_of(spark, ("a", "b"), ("a", "b"), ("b", "c"))
     assert rows(graph_query.degrees(e).select("id", "in_degree", "out_degree")) == [("a", 0, 1), ("b", 1, 1), ("c", 1, 0)]
