@@ -5,7 +5,9 @@ passes over its documents as fit its budget; what remains is a subset sum over t
 
 1. documents are counted by source and exact token length (combined before the shuffle);
 2. each source's histogram is fitted on its own: the remaining share of every length, rounded down, then long lengths
-   first, and the last WINDOW tokens by a bounded-knapsack table that reaches the sum nearest to the budget;
+   first, and the last WINDOW tokens by a bounded-knapsack table that reaches the sum nearest to the budget; where that
+   misses the budget, the table is run over the whole of what remains, in units of the lengths' gcd, if it has at most
+   TABLE sums and CELLS steps;
 3. of each (source, length) the wanted number of documents is taken in the order of a seeded hash. Groups of more than
    GROUP documents are first counted by hash bucket, so that only the bucket of the cut is ranked.
 
@@ -18,6 +20,8 @@ max_repeats times fall short of its budget, is short and takes all it has; a nul
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from srclake.llm.common import TOKENIZER_DIR, encoder, key_text, map_rows, stabl
 
 #: The last so many tokens of a budget are filled by the table.
 WINDOW = 8192
+#: Sums and steps (sums times lengths) up to which a table over a whole budget is run.
+TABLE, CELLS = 1 << 21, 1 << 28
 #: Documents of one source and length that are ranked together.
 GROUP = 20_000
 
@@ -90,7 +96,7 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int) -> tupl
     if max_repeats * total <= budget:
         return max_repeats, {}
     passes = budget // total
-    rest = budget - passes * total
+    rest = whole = budget - passes * total
     share = rest / total
     extra = {size: int(n * share) for size, n in histogram}
     rest -= sum(size * k for size, k in extra.items())
@@ -107,6 +113,14 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int) -> tupl
     sizes = [s for s in sorted(left, reverse=True) if left[s]]
     for size, k in reach(sizes, [left[s] for s in sizes], min(rest, WINDOW + (sizes[-1] if sizes else 0))).items():
         extra[size] += k
+    if sum(size * k for size, k in extra.items()) < whole:
+        unit = gcd(*(size for size, _ in histogram))
+        fits = [(size // unit, n) for size, n in reversed(histogram) if size <= whole]
+        sums = whole // unit
+        if fits and sums <= TABLE and sums * len(fits) <= CELLS and sum(sums // size for size, _ in fits) <= TABLE:
+            found = reach([size for size, _ in fits], [n for _, n in fits], sums)
+            if sum(size * unit * k for size, k in found.items()) > sum(size * k for size, k in extra.items()):
+                extra = {size * unit: k for size, k in found.items()}
     return passes, {s: k for s, k in extra.items() if k}
 
 

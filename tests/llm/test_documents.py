@@ -57,6 +57,12 @@ def test_clean(spark):
     assert got == {1: ("keep " * 60 + ". tail", False), 2: (None, True), 3: ("nothing", False), 4: (None, False)}
 
 
+def test_fit_of_long_documents():
+    """A sum of long documents that the greedy start misses."""
+    assert mixing.fit([(40_000, 1), (36_000, 1), (34_000, 1)], 70_000, 1) == (0, {36_000: 1, 34_000: 1})
+    assert mixing.fit([(30_011, 2), (26_003, 3), (25_007, 1)], 25_007 + 2 * 26_003, 2) == (0, {26_003: 2, 25_007: 1})
+
+
 @pytest.mark.parametrize("histogram, budget, most, want", [
     ([(5, 2), (3, 1)], 26, 2, (2, {})), ([(5, 2), (3, 1)], 13, 1, (1, {})), ([(5, 2), (3, 1)], 8, 1, (0, 8)), ([(5, 2), (3, 1)], 18, 2, (1, 5)), ([], 5, 1, (0, 0)), ([(0, 9)], 5, 1, (0, 0)), ([(7, 3)], 6, 1, (0, 0)), ([(7, 3)], 0, 1, (0, 0)),
     ([(1000, 10**6), (7, 10), (3, 5)], 123_456_789, 1, (0, 123_456_000 + 700 - 7 * 90 + 15 if False else None)),
