@@ -58,11 +58,24 @@ _PREFIXED = re.compile(
     r"|AIza[\w-]{30,}|npm_[A-Za-z0-9]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|SG\.[\w-]{16,}\.[\w-]{16,}|pypi-[\w-]{16,}|hf_[A-Za-z0-9]{20,}"
     r"|dop_v1_[a-f0-9]{32,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|AGE-SECRET-KEY-[A-Z0-9]{30,}|sq0csp-[\w-]{20,}|shpat_[a-f0-9]{20,})(?![A-Za-z0-9_/+])"
 )
+_KEY_HEADER = r"(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*"
+_KEY_BETWEEN = rf"\\[nr]|[\s\"'`+,*#/\\.;()|>-]|{_KEY_HEADER}"
+#: Lines of 16 and more characters and, up to the END mark, whatever is left of the key.
 _KEY_BLOCK = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-    r"(?P<value>(?:(?:\\[nr]|[\s\"'`+,*#/\\.;()|>-]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*)*[A-Za-z0-9+/=]{16,})+)"
+    rf"(?P<value>(?:(?:{_KEY_BETWEEN})*[A-Za-z0-9+/=]{{16,}})+(?:(?:(?!-----END)(?:{_KEY_BETWEEN}|[A-Za-z0-9+/=]))*+(?=-----END))?)"
 )
-_KEY_TEXT = re.compile(r"(?:(?<=\\[nr])|(?<![\\A-Za-z0-9+/=]))[A-Za-z0-9+/=]{16,}")
+_KEY_TEXT = re.compile(r"(?:(?<=\\[nr])|(?<![\\A-Za-z0-9+/=]))[A-Za-z0-9+/=]+")
+_KEY_HEADERS = re.compile(_KEY_HEADER)
+
+
+def _key_parts(text: str) -> list[tuple[int, int]]:
+    """Spans of a key's text, headers and what holds the lines together left out."""
+    headers = [m.span() for m in _KEY_HEADERS.finditer(text)]
+    runs = [m.span() for m in _KEY_TEXT.finditer(text)]
+    return [(a, b) for a, b in runs if b - a >= 16 or any(map(str.isalnum, text[a:b])) and not any(x <= a < y for x, y in headers)]
+
+
 #: Words that may begin a credential's context, by the rules that are then tried. Found in one pass over a lowered text.
 _WORDS = {
     "name": ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key", "pass", "pw"],
@@ -129,7 +142,7 @@ def find(text: str | None, configuration: bool, folder: str = TOKENIZER_DIR) ->
     keys: list[tuple[int, int]] = []
     if "PRIVATE KEY" in text:
         for m in _KEY_BLOCK.finditer(text):
-            parts = [(m.start("value") + k.start(), m.start("value") + k.end()) for k in _KEY_TEXT.finditer(m["value"])]
+            parts = [(m.start("value") + a, m.start("value") + b) for a, b in _key_parts(m["value"])]
             if parts and not _PLACEHOLDER.search(m["value"]):
                 keys.append((m.start(), m.end()))
                 found.append((m.start(), m.start(), "private_key"))

@@ -54,3 +54,15 @@ def test_mask_keeps_offsets(parts):
 
 def test_natural_text():
     assert c.characters_per_subword("documentation of the repository") > c.UNNATURAL > c.characters_per_subword("q7Zp0xVbT9mKe2Rj")
+
+
+def test_short_end_of_a_key():
+    """The last line of a key is masked however short it is; headers and code around it are not."""
+    line = "MIIEowIBAAKCAQEA7bq9"
+    for text, hidden in [
+        (f"-----BEGIN RSA PRIVATE KEY-----\n{line}\n{line}\nq7Zk3w==\n-----END RSA PRIVATE KEY-----\n", [line, line, "q7Zk3w=="]),
+        (f'k = "-----BEGIN PRIVATE KEY-----\\n{line}\\nq7Zk\\n-----END PRIVATE KEY-----\\n"', [line, "q7Zk"]),
+        (f'"-----BEGIN PRIVATE KEY-----" +\n  "{line}" +\n  "Zq7" +\n  "-----END PRIVATE KEY-----"', [line, "Zq7"]),
+        (f"-----BEGIN PRIVATE KEY-----\n{line}\nand so on", [line]),
+    ]:
+        assert [text[a:b] for a, b, rule in c.find(text, False) if rule == "private_key+"] == hidden
