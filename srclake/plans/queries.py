@@ -268,7 +268,7 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {tfidf_sql()}, {search_sql(5)} SELECT report_id, chunk_seq, round(score, 6) AS score, rank FROM hits")
 def tfidf_search(spark: SparkSession, folder: str) -> DataFrame:
-    """VEC-6, RET-1, RET-3: the five nearest chunks of every fiftieth report, in its repository."""
+    """VEC-6, RET-1: the five nearest chunks of every fiftieth report, in its repository."""
     return report_hits(spark, folder, 5).select("report_id", "chunk_seq", F.round("score", 6).alias("score"), "rank")
 
 
