@@ -416,7 +416,8 @@ def bug_explanations(spark: SparkSession, folder: str) -> DataFrame:
     hits = report_hits(spark, folder, 15).join(t(spark, folder, "chunks").select("chunk_seq", "file_path", "name", "start_line", "end_line"), "chunk_seq")
     found = bugs.candidates(hits, _frame_matches(spark, folder), bugs.graph_context(edges(spark, folder), t(spark, folder, "source_files")), "report_id")
     told = reports.join(found, "report_id", "left").withColumn("explanation", bugs.explanation(F.col("etype"), F.col("emsg")))
-    return told.where("place = 1 OR place IS NULL").select("report_id", "file_path", "confidence", "explanation", bugs.root_cause(F.col("etype"), F.col("frames")).alias("root_cause"))
+    cause = F.when(F.coalesce("place", F.lit(1)) == 1, bugs.root_cause(F.col("etype"), F.col("frames")))
+    return told.select("report_id", "place", "file_path", "confidence", "explanation", cause.alias("root_cause"))
 
 
 # ---- graph ---------------------------------------------------------------------------------------------------------

@@ -23,3 +23,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_candidate_is_explained(spark):
+    found = QUERIES["bug_explanations"](spark, SMALL).toPandas()
+    assert found["place"].max() > 1 and found[found["place"] > 1]["explanation"].notna().all()
+    assert (found["root_cause"].notna() == ~(found["place"] > 1)).all()
