@@ -27,102 +27,121 @@ _CUT = {
     "c": _re(_LINE, _BLOCK, _DQ, r"'(?:[^'\\\n]|\\[^\n])[^'\n]{0,9}?'"),
     "cpp": _re(_LINE, _BLOCK, r'R"([^()\\ ]{0,16})\(.*?\)\1"', _DQ, r"(?<![0-9A-Fa-f])'(?:[^'\\\n]|\\[^\n])[^'\n]{0,9}?'"),
     "rust": _re(_LINE, _BLOCK, r'b?r(#*)".*?"\1', r'b?"(?:[^"\\]|\\.)*"', r"b?'(?:\\[^\n][^'\n]{0,9}|[^'\\\n])'"),
-    "python": _re(r"#[^\n]*", r"(?:\b[rRbBfFuUtT]{1,2})?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|" + _SQ.replace(r"|\\.", r"|\\(?:.|\n)") + "|" + _DQ.replace(r"|\\.", r"|\\(?:.|\n)") + ")"),
+    "python": _re(
+        r"#[^\n]*", r"(?:\b[rRbBfFuUtT]{1,2})?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\n]|\\(?:.|\n))*'|\"(?!\"\")(?:[^\"\\\n]|\\(?:.|\n))*\")",
+    ),
 }
 _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\]|\\.)*", re.M | re.S)
 _HASHBANG = re.compile(r"#![^\n\[]*")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|\Z)", re.M)
 _LEFT = re.compile(r"[\"`\\]|/\*|\*/")
 
-_OPERATORS = r">>>=|<<=|>>=|\*\*=|&&=|\|\|=|\?\?=|===|!==|\.\.\.|\.\.=|\+\+|--|\*\*|&&|\|\||\?\?|==|!=|<=|>=|=>|->|<-|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|//=?|\?\.|::|\.\."
-_TOKENS = {
-    "javascript": re.compile(rf"[\w$]+(?:\.\d+)*|\x01|\n|{_OPERATORS.replace('|//=?', '').replace('|::', '').replace('|:=', '').replace('|<-', '').replace('|->', '')}|\S"),
-    "go": re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|\n|{_OPERATORS.replace('|//=?', '')}|\S"),
-    "python": re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|\n|{_OPERATORS.replace('|&&', '').replace('|<-', '').replace('|::', '').replace(r'|\+\+', '').replace('|--', '')}|\S"),
+def _operators(*signs: str) -> str:
+    return "|".join(map(re.escape, sorted(" ".join(signs).split(), key=len, reverse=True)))
+
+
+_NUMBER = r"0[xXbBoO][\w.]*(?:(?<=[pP])[+-]\w+)?|(?:\d[\w]*\.?\w*|\.\d\w*)(?:(?<=\d[eE])[+-]\w+)?"
+_SIGNS = {
+    "javascript": _operators(">>>= <<= >>= **= &&= ||= ??= === !== ... ++ -- ** && || ?? == != <= >= => += -= *= /= %= &= |= ^= << ?."),
+    "go": _operators("... <<= >>= &^= ++ -- && || == != <= >= := += -= *= /= %= &= |= ^= << >> &^ <-"),
+    "java": _operators(">>>= <<= >>= ... ++ -- && || == != <= >= -> += -= *= /= %= &= |= ^= << ::"),
+    "c": _operators("... <<= >>= ++ -- && || == != <= >= -> += -= *= /= %= &= |= ^= << >>"),
+    "cpp": _operators("... <<= >>= ++ -- && || == != <= >= -> += -= *= /= %= &= |= ^= << ::"),
+    "rust": _operators("... ..= <<= >>= && || == != <= >= -> => += -= *= /= %= &= |= ^= << :: .."),
+    "python": _operators("... **= //= <<= >>= -> := += -= *= /= %= &= |= ^= @= ** // == != <= >= << >>"),
 }
-_TOKENS["typescript"] = _TOKENS["javascript"]
-for _k in ("java", "c", "cpp", "rust"):
-    _TOKENS[_k] = re.compile(rf"\d\w*(?:\.\d\w*)*|\w+|\x01|{_OPERATORS.replace('|//=?', '').replace('|**=', '').replace('|<-', '')}|\S")
-_TOKENS["java"] = re.compile(_TOKENS["java"].pattern.replace(r"|\.\.=", "").replace(r"|\.\.", ""))
+_SIGNS["typescript"] = _SIGNS["javascript"]
+#: In Rust 1..2 is a range, not 1. and .2; a tuple's field may follow a dot.
+_RUST_NUMBER = r"0[xbo]\w+|\d[\d_]*(?:\.\d[\d_]*(?:[eE][+-]?\d+)?|\.(?![.\w]))?\w*"
+_PYTHON_NUMBER = r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?"
+
+
+def _tokens(language: str) -> re.Pattern:
+    js = language in ("javascript", "typescript")
+    number = {"rust": _RUST_NUMBER, "python": _PYTHON_NUMBER}.get(language, _NUMBER)
+    word = r"[$#]?[\w$]+" if js else r"\w+"
+    return re.compile("|".join([number, word, r"\x01", *[r"\n"] * (js or language == "go"), _SIGNS[language], r"\S"]))
+
+
+_TOKENS = {k: _tokens(k) for k in _SIGNS}
 
 
 def _kinds(text: str) -> dict[str, str]:
-    table = {"\x01": "s", "\n": "\n"}
+    table = {"\x01": "s", "\n": "\n"} | {c: c for c in "()[]{};,.:?<>@"}
     for line in text.strip().splitlines():
-        kind, *words = line.split() or [""]
+        kind, *words = line.split()
         table |= dict.fromkeys(words, kind)
     return table
 
 
-_PUNCTUATION = """
-( (
-) )
-[ [
-] ]
-{ {
-} }
-; ;
-, ,
-. .
-: :
-? ?
-< <
-> >
-= = += -= *= /= %= &= |= ^= <<= >>= **=
-o / % | ^ == != <= >= && || <<
-u + - * &
-v ! ~
+_JS = """
+g += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??=
+= =
+o / % ^ == != === !== <= >= << && || ?? **
+z |
+& &
+u + -
+S *
+v ~
+! !
 q ++ --
 e ...
-"""
-_JS = """
-. ?.
-= >>>= &&= ||= ??=
-o === !== ** ?? instanceof
+d ?.
 a =>
 I if
 E else
-D do try finally
-W while switch catch with
 F for
+W while
+D do
+Y switch
+X catch
+A try
+Q finally
+H with
 C case
 L default
-R return throw
-B break continue debugger
+R return
+t throw
+B break continue
+b debugger
 M export
 K class
-X extends
+x extends
 U import
 N new
 V var let const
 P function
-w typeof delete void await yield
-Z in
-n true false null
+T typeof
+O void delete
+w await
+y yield
+Z in instanceof
+n true false null this super
 f from
-g of
-h static get set
+r of
+h static get set accessor
 j async
-k as
+k as assert
+2 enum
 """
 #: Token classes of each language. The languages' keywords and operators.
 KINDS = {
-    "javascript": _kinds(_PUNCTUATION + _JS),
-    "typescript": _kinds(_PUNCTUATION + _JS + "\nl interface enum namespace module type\nX implements\nw keyof\ny abstract declare public private protected readonly override\n@ @\nk satisfies"),
-    "go": _kinds(_PUNCTUATION + "\n= :=\no &^ \na <-\nI if\nE else\nD go defer\nW switch select\nF for\nC case chan\nL default\nR return\nB break continue goto fallthrough\nU package import\nV var const type\nP func\nT struct interface map\nZ range\nn nil true false\nv ~"),
-    "java": _kinds(_PUNCTUATION + "\n= >>>=\nZ instanceof\na ->\n@ @\nI if\nE else\nD do try finally\nW while switch catch synchronized\nF for\nC case\nL default\nR return throw assert yield\nB break continue\nM public private protected static final abstract native transient volatile strictfp\nK class interface enum\nX extends implements throws\nU package import\nN new\nT int long double float boolean char byte short void var\nn true false null"),
-    "c": _kinds(_PUNCTUATION + "\n. ->\nI if\nE else\nD do\nW while switch\nF for\nC case\nL default\nR return\nB break continue goto\nM const static extern volatile register inline restrict auto typedef _Noreturn _Atomic\nK struct union enum\nT int long double float char short void signed unsigned bool _Bool size_t\nw sizeof _Alignof\nA _Static_assert\nn NULL true false"),
-    "cpp": _kinds(_PUNCTUATION + "\n. ->\ny ::\nI if\nE else\nD do try\nW while switch catch\nF for\nC case\nL default delete\nR return throw co_return co_yield\nB break continue goto\nM const static extern volatile register inline typedef constexpr consteval constinit virtual explicit friend mutable public private protected override final thread_local noexcept\nK class struct union enum typename namespace\nT int long double float char short void signed unsigned bool auto\nw sizeof decltype alignof typeid alignas co_await\nN new\nP template\nU using\nA operator static_assert\nn nullptr true false NULL this"),
-    "rust": _kinds(_PUNCTUATION + "\n. ::\no ..=\ne .. \na =>\ny ->\nI if\nE else\nF for\nW while loop where match\nR return\nB break continue\nM pub mut\nK struct enum trait impl union mod type macro\nU use\nV let const static dyn\nP fn\nw async await unsafe move ref\nA as\nZ in\nn true false self\n# #\n@ @\n? ?\nv !"),
-    "python": _kinds(_PUNCTUATION.replace("% |", "% // |").replace("v ! ~", "v ~").replace("q ++ --", "").replace("&& ||", "").replace("u + - * &", "u + - *\no &") + "\n@ @\n= := //= @=\na ->\no ** and or is\nv not\nZ in\nI if elif while\nE else\nD try finally\nF for\nW W\nH with\nX except\nP def\nK class\nR return raise\nB pass break continue\nw await async yield\nU import\nG global nonlocal\nl lambda\nn None True False\nA as from\nw assert del"),
+    "javascript": _kinds(_JS),
+    "typescript": _kinds(_JS + "m abstract declare public private protected readonly override\n1 interface\n3 namespace module\n4 type\n5 keyof unique infer\n6 is\n7 asserts\n8 satisfies\n9 implements"),
+    "go": _kinds("= =\nw :=\ng += -= *= /= %= &= |= ^= <<= >>= &^=\no / % | == != <= >= < > << >> && || &^\nu + - & ^\nS *\nv !\n~ ~\na <-\nq ++ --\ne ...\nI if\nE else\nD go defer\nW switch\nJ select\nF for\nC case\nL default\nR return\nB break continue goto fallthrough\nU import\nk package\nV var const\ny type\nP func\nT struct\nN interface\nM map\nH chan\nZ range\nn nil true false"),
+    "java": _kinds("= =\ng += -= *= /= %= &= |= ^= <<= >>= >>>=\no / % ^ == != <= >= << && ||\nz |\n& &\nu + -\nS *\nv ! ~\nq ++ --\na ->\ne ...\ny ::\nI if\nE else\nD do\nA try\nQ finally\nW while\nY switch\nX catch\nH synchronized\nF for\nC case\nL default\nR return\nt throw\nb assert\nB break continue\nM public private protected static final abstract native transient volatile strictfp\nK class\n1 interface\n2 enum\nr record\nx extends\n9 implements\n7 throws\np permits\nm sealed\nk package\nU import\nN new\nZ instanceof\nf yield\nw when\nT int long double float boolean char byte short\nO void\nn true false null this\n5 super"),
+    "c": _kinds("= =\ng += -= *= /= %= &= |= ^= <<= >>=\no / % | ^ == != <= >= < > << >> && ||\n& &\nu + -\nS *\nv ! ~\nq ++ --\n. ->\ne ...\nI if\nE else\nD do\nW while\nY switch\nF for\nC case\nL default\nR return\nB break continue\nb goto\nM const static extern volatile register inline restrict auto _Noreturn _Atomic _Thread_local __inline __inline__ __restrict __extension__ constexpr thread_local\ny typedef\nK struct union\n2 enum\nT int long double float char short void signed unsigned bool _Bool _Complex\nw sizeof _Alignof alignof\nA _Static_assert static_assert\n@ __attribute__\n6 asm __asm__\nn true false"),
+    "cpp": _kinds("= =\ng += -= *= /= %= &= |= ^= <<= >>=\no / % | ^ == != <= >= << || and or\n& &\n8 &&\nu + -\nS *\nv ! not\n~ ~\nq ++ --\na ->\ne ...\ny ::\nI if\nE else\nD do\n1 try\nW while\nY switch\nX catch\nF for\nC case\nL default\nR return co_return\nt throw\n5 co_await co_yield\nB break continue\nb goto\nM const static extern volatile register inline typedef constexpr consteval constinit virtual explicit friend mutable thread_local\nQ public private protected\nf override final\n9 noexcept\nK class struct union\n2 enum\nV typename\n3 namespace\nT int long double float char short void signed unsigned bool auto wchar_t char8_t char16_t char32_t\nw sizeof alignof typeid alignas\nd decltype\nN new\nx delete\nP template\nU using\nA operator\n7 static_assert\nc concept\nr requires\n@ __attribute__\n6 asm\nn nullptr true false this"),
+    "rust": _kinds("= =\ng += -= *= /= %= &= |= ^= <<= >>=\no / % ^ == != <= >= <<\nO ||\n8 &&\nz |\n& &\nu + -\nS *\n! !\n~ ~\ne .. ..= ...\nG =>\na ->\ny ::\n# #\nI if\nE else\nF for\nW while\nD loop\nQ match\nL let\nH where\nR return\nB break continue\nM pub\nm mut\nr ref\nK struct\n1 enum\n2 trait\n3 impl\n4 mod\n5 type\n6 extern\nX self Self super crate\nU use\nV const\nv static\nP fn\nq async\nw await\nA as\nZ in\nd dyn\n9 unsafe\nc move\nk union auto\nn true false"),
+    "python": _kinds("= =\nw :=\ng += -= *= /= %= &= |= ^= <<= >>= **= //= @=\no // % & ^ << >>\nz |\n/ /\nu + -\nS *\nQ **\n~ ~\nO and or\nv not\nC == != <= >=\nZ in\nJ is\na ->\ne ...\nN ;\nI if\nE elif\nL else\nW while\nT try\nX except\nY finally\nF for\nH with\nP def\nK class\nR return\nr raise\nB pass break continue\nD del\nA as\nf from\nU import\nG global nonlocal\nl lambda\ny yield\nx await\nj async\nq assert\nc None True False\nm match\nk case\nt type"),
 }
-KINDS["go"]["~"] = "v"
 
-_OPENERS = {")": "(", "]": "[", "}": "{"}
-_X = re.compile(r"(?<=[ou=?v.RN])i")
-_AFTER_DOT = re.compile(r"(?<=\.)[A-Za-mo-zNn](?<![isn])")
-_JS_END = re.compile(r"(?<=[inxs)\]}qB])\n+(?=[inxs{RBVIFWDCLKPMNUwvhjylq])")
-_JS_R = re.compile(r"(?<=[RB])\n+(?=[^}\n;])")
+_WORDS_AFTER_DOT = re.compile(r"(?<=[.d])[IEFWDYXAQHCLRtBbMKxUNVPTOwyZn2]")
+#: Line ends that may end a statement: after what can end one, before what can begin one.
+_JS_END = re.compile(r"(?<![,.:?=gozu&S<>a({\[;e\n])\n+(?![\n.,:?)\]}ozg=a])")
+_GO_END = re.compile(r"(?<=[ins)\]}qRB])\n+")
+#: Rust's macros whose arguments are expressions; what others take is theirs to say.
+_PLAIN_MACROS = {"println", "print", "eprintln", "eprint", "format", "write", "writeln", "panic", "assert", "assert_eq", "assert_ne", "debug_assert", "debug_assert_eq", "debug_assert_ne", "vec", "todo", "unimplemented", "unreachable", "dbg"}
 
 
 class _Classes(dict):
@@ -136,7 +155,7 @@ class _Classes(dict):
         if len(self) > 300_000:
             self.clear()
             self.update(self.fixed)
-        kind = "n" if w[0].isdecimal() else "i" if w[0].isidentifier() or w[0] == "$" and len(w) > 1 else "!"
+        kind = "n" if w[0].isdecimal() or w[0] == "." and len(w) > 1 else "i" if w[0].isidentifier() or w[0] in "$#" and len(w) > 1 else "\0"
         self[w] = kind
         return kind
 
@@ -158,7 +177,7 @@ def lex(language: str, text: str) -> tuple[str, str]:
     newlines = language in ("javascript", "typescript", "go")
     if language in ("c", "cpp"):
         text = text.replace("\\\n", " ")
-    if text.startswith("#!") and language != "rust":
+    if text.startswith("#!") and (language != "rust" or not text.startswith("#![")):
         text = _HASHBANG.sub("", text, count=1)
 
     def cut(m: re.Match) -> str:
@@ -167,6 +186,12 @@ def lex(language: str, text: str) -> tuple[str, str]:
             return "\n" if newlines and "\n" in found else " "
         return "\x01"
 
+    if newlines and language != "go" and "${" in text:
+        text = _templates(text)
+        if text is None:
+            return "", "open literal or comment"
+    if language == "rust" and "/*" in text:
+        text = _nested_comments(text)
     text = _CUT[language].sub(cut, text)
     if language in ("c", "cpp"):
         text = _DIRECTIVE.sub(" ", text)
@@ -176,38 +201,165 @@ def lex(language: str, text: str) -> tuple[str, str]:
         return "", "conflict marker"
     if _LEFT.search(text) or "'" in text and language != "cpp":
         return "", "open literal or comment"
+    if language == "java" and "non-sealed" in text:
+        text = re.sub(r"\bnon-sealed\b", "sealed", text)
+    if language == "cpp":
+        text = re.sub(r"(?<=[0-9A-Fa-f])'(?=[0-9A-Fa-f])", "", text)
     words = _TOKENS[language].findall(text)
     if not words:
         return "", ""
     found = "".join(map(_table(language).__getitem__, words))
     if language == "rust":
         found = "".join("t" if w == "\x02" else k for w, k in zip(words, found)) if "\x02" in text else found
-    if "!" in found:
+        if "#" in found or "!" in found:
+            found = _opaque(words, found)
+    if "\0" in found:
         return "", "character that begins no token"
-    if newlines:
-        if language == "go":
-            found = re.sub(r"(?<=[ixns)\]}qRB])\n+", ";", found + "\n").replace("\n", "")
+    if language == "go":
+        found = _GO_END.sub(";", found + "\n").replace("\n", "")
+    elif newlines:
+        found = _WORDS_AFTER_DOT.sub("i", found)
+        found = _JS_END.sub("\x03", found.strip("\n")).replace("\n", "").replace("\x03", "\n")
+    return found, ""
+
+
+def _opaque(words: list[str], classes: str) -> str:
+    """Rust: what stands in attributes, and in macros that may take any tokens, is one class but for its brackets."""
+    out = list(classes)
+    k, n = 0, len(out)
+    while k < n:
+        if out[k] == "#":
+            at = k + 2 if k + 1 < n and out[k + 1] == "!" else k + 1
+        elif out[k] == "!" and k and out[k - 1] in "iX" and words[k - 1] not in _PLAIN_MACROS:
+            at = k + 1 if k + 1 < n and out[k + 1] in "([{" else k + 2
         else:
-            found = found + "\n"
-            found = re.sub(r"f(?=\n*s)", "A", found).replace("f", "i")
-            found = re.sub(r"(?<=[ix\]}])g", "Z", found).replace("g", "i")
-            found = re.sub(r"h(?=[ixsn\[u])", "M", found).replace("h", "i")
-            found = re.sub(r"j(?=[Pi(])", "w", found).replace("j", "i")
-            if language == "typescript":
-                found = re.sub(r"k(?=[i\[({TPNnsw])", "A", found)
-                found = re.sub(r"l(?=i)", "K", found)
-                found = re.sub(r"y(?=[ixsn\[ywMKPVj])", "M", found)
-            found = re.sub(r"k(?=i)", "A", found)
-            found = re.sub(r"[kly]", "i", found)
-            found = re.sub(r"(?<=M)L", "L", found)
-            found = _JS_R.sub(";", found)
-            found = _JS_END.sub(";", found)
-            found = re.sub(r"(?<=[inxs)\]}qBR])\n+$", ";", found).replace("\n", "")
-    found = _AFTER_DOT.sub("x", found) if language not in ("rust",) else found
-    return _X.sub("x", found), ""
-
-
-_WORD_LINE = re.compile(r"^([ \t]*)(match|case)\b(?=[ \t]*[^\s=.:,)\]+*/%|&^<>-])(.*:[ \t]*)$", re.M)
+            k += 1
+            continue
+        k += 1
+        if at < n and out[at] in "([{":
+            depth, k = 1, at + 1
+            while k < n and depth:
+                if out[k] in "([{":
+                    depth += 1
+                elif out[k] in ")]}":
+                    depth -= 1
+                else:
+                    out[k] = "J"
+                k += 1
+    return "".join(out)
+
+
+_NESTED = re.compile(r"//[^\n]*|/\*|\*/|b?r(#*)\".*?\"\1|b?\"(?:[^\"\\]|\\.)*\"|'(?:\\[^\n][^'\n]{0,9}|[^'\\\n])'", re.S)
+
+
+def _nested_comments(text: str) -> str:
+    """Rust's block comments lie within one another."""
+    parts, at, depth = [], 0, 0
+    pos = 0
+    while True:
+        m = _NESTED.search(text, pos) if not depth else re.compile(r"/\*|\*/").search(text, pos)
+        if not m:
+            break
+        pos = m.end()
+        if m[0] == "/*":
+            if not depth:
+                parts.append(text[at : m.start()])
+                at = m.start()
+            depth += 1
+        elif m[0] == "*/" and depth:
+            depth -= 1
+            if not depth:
+                at = pos
+                parts.append(" ")
+    return "".join(parts) + text[at:]
+
+
+_TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_TEMPLATE_CODE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|" + _REGEX + r"|[`{}]", re.S)
+
+
+def _templates(text: str) -> str | None:
+    """Template literals become plain ones of their length's worth of nothing, whatever templates their expressions hold; None if
+    one does not end. What stands in ${} is not looked into."""
+    parts: list[str] = []
+    stack: list[str] = []
+    at = pos = 0
+    while True:
+        if stack and stack[-1] == "`":
+            pos = _TEMPLATE_PART.match(text, pos).end()
+            if pos >= len(text):
+                return None
+            if text[pos] == "`":
+                stack.pop()
+                pos += 1
+                if not stack:
+                    parts.append("``")
+                    at = pos
+            else:
+                stack.append("${")
+                pos += 2
+            continue
+        m = _TEMPLATE_CODE.search(text, pos)
+        if not m:
+            break
+        pos = m.end()
+        if m[0] == "`":
+            if not stack:
+                parts.append(text[at : m.start()])
+            stack.append("`")
+        elif m[0] == "{" and stack:
+            stack.append("{")
+        elif m[0] == "}" and stack:
+            stack.pop()
+    return None if stack else "".join(parts) + text[at:]
+
+
+#: A formatted string in whose braces its own quote stands again.
+_INNER_QUOTE = re.compile(r"\b[rR]?[fFtT][rR]?(?:\"[^\"\n]*\{[^\"}\n]*\"|'[^'\n]*\{[^'}\n]*')")
+_STRING_START = re.compile(r"#[^\n]*|(?P<f>\b(?:[rR]?[fFtT][rR]?))?(?P<q>\"\"\"|'''|\"|')|[{}]")
+
+
+def _formatted(text: str) -> str:
+    """Formatted strings become plain ones, whatever strings their expressions hold."""
+    parts: list[str] = []
+    stack: list[str] = []  # quotes of formatted strings and { of their expressions
+    at = pos = 0
+    while True:
+        if stack and stack[-1] != "{":
+            quote = stack[-1]
+            m = re.compile(rf"\\.|\{{\{{|\{{|{quote}" + ("|\n" if len(quote) == 1 else ""), re.S).search(text, pos)
+            if not m or m[0] == "\n":
+                return text  # does not end: left as it is
+            pos = m.end()
+            if m[0] == quote:
+                stack.pop()
+                if not stack:
+                    parts.append('""')
+                    at = pos
+            elif m[0] == "{":
+                stack.append("{")
+            continue
+        m = _STRING_START.search(text, pos)
+        if not m:
+            break
+        pos = m.end()
+        if m["f"]:
+            if not stack:
+                parts.append(text[at : m.start()])
+            stack.append(m["q"])
+        elif m["q"]:
+            q = m["q"]
+            e = re.compile(rf"(?:\\.|(?!{q}).)*{q}", re.S).match(text, pos)
+            if not e:
+                return text
+            pos = e.end()
+        elif stack and m[0] == "}":
+            stack.pop()
+        elif stack and m[0] == "{":
+            stack.append("{")
+    return text if stack else "".join(parts) + text[at:]
+
+
 _DENTS = re.compile(r"[ \t\f]*")
 
 
@@ -215,14 +367,14 @@ def _lex_python(text: str) -> tuple[str, str]:
     def cut(m: re.Match) -> str:
         return "" if m[0][0] == "#" else "\x01"
 
+    if _INNER_QUOTE.search(text):
+        text = _formatted(text)
     text = _CUT["python"].sub(cut, text)
     if _CONFLICT.search(text):
         return "", "conflict marker"
     text = text.replace("\\\n", " ")
     if '"' in text or "'" in text or "\\" in text:
         return "", "open literal or comment"
-    if "match" in text:
-        text = _WORD_LINE.sub(r"\1W\3", text)
     findall, of = _TOKENS["python"].findall, _table("python").__getitem__
     out: list[str] = []
     indents, depth, opened = [0], 0, False
@@ -230,7 +382,7 @@ def _lex_python(text: str) -> tuple[str, str]:
         if not line or line.isspace():
             continue
         found = "".join(map(of, findall(line)))
-        if "!" in found:
+        if "\0" in found:
             return "", "character that begins no token"
         if not depth:
             lead = _DENTS.match(line)[0]

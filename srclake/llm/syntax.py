@@ -2,13 +2,12 @@
 
 Every text is lexed once, in Arrow batches, into token classes; from there on the work is on rows. Of each file
 come its distinct adjacent pairs of classes, its brackets, in blocks of BLOCK tokens within which matching ones have
-cancelled, and what its statements break. Statements are judged at their own nesting depth: a group in brackets is one
-class to the text around it and a text of its own inside. Then
+cancelled, and the place where its statements stop being productions of the grammar. Then
 
 1. pairs are anti-joined against those that the language's grammar permits (a table derived from the grammar, of a
    few thousand rows, so it is broadcast);
-2. statements are held against the productions of their first word, and every window of three classes at one depth
-   against those that the grammar permits (derived, too);
+2. statement productions are reduced depth by depth, from the innermost bracketed group outwards, by the same grammar
+   (``automata``): a group counts as one symbol at the depth around it;
 3. brackets that blocks left over are matched by windowed reductions: depth is a running sum, and on each depth
    an opener must be followed by its closer.
 
@@ -17,105 +16,65 @@ unlexable one is a single row.
 
 Defined results: null content is no case; empty or blank content parses; a row of no known language (or a null
 path) is left out; each repeated row is judged for itself; a byte-order mark, CRLF and a missing final newline are
-fine; an empty table gives an empty result.
+fine; an empty table gives an empty result. C and C++ are judged without expanding macros: directives are left out, and a
+macro must stand where a name, a call or a type may. Of Rust's macros those of the standard library that take
+expressions are judged inside, others only by their brackets.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclake.llm.automata import reductions
 from srclake.llm.common import language, map_rows
-from srclake.llm.grammars import FOLD, GRAMMARS, pairs, windows
+from srclake.llm.grammars import GRAMMARS, pairs
 from srclake.llm.lexing import lex, unmatched
 
 #: Tokens in a block whose brackets are matched before the shuffle.
 BLOCK = 4096
+#: Classes shown around the place where a statement breaks.
+SHOWN = 3
 
-#: (language, a statement that begins so, must look so). Statements are token classes, cut at the ; of their own depth.
-PRODUCTIONS = [
-    ("python", r"^(?:w?[FHP]|[IWDXKE])", r":"),
-    ("python", r"u$", r"U[^;]*u$"),
-    ("c", r"ii\.", r"^$"),
-    ("c", r"^[MTi]+u*i\([^)]*u[^)]*\)$", r"^[^&]*$"),
-    ("cpp", r"ii\.", r"^$"),
-    ("java", r"ii\.", r"^U"),
-    ("java", r"iii", r"^$"),
-    ("go", r"iii", r"^$"),
-    ("javascript", r"^Ui\.", r"^$"),
-    ("typescript", r"^Ui\.", r"^$"),
-    ("javascript", r"[ou]x:", r"[?CL]"),
-    ("typescript", r"[ou]x:", r"[?CL]"),
-]
-
-_BRACKET = re.compile(r"([()\[\]{}])")
-#: As in ``grammars.SHORTENED``.
-_SHORT = {"java": (re.compile(r"@[ix](?:\.[ix])*\u2460?"), "@"), "go": (re.compile(r"P(?:\u2460?i\u2461?)?\u2460"), "P")}
-_METHOD = re.compile(r"(?<=[{;])i\u2460")
-#: In Python an indented block ends its statement.
-_END = {"python": re.compile(r";|(?<=b)\u2462")}
-_SEMICOLON = re.compile(r";")
-_OF_LANGUAGE = {lang: [(re.compile(begins), re.compile(must)) for of, begins, must in PRODUCTIONS if of == lang] for lang in GRAMMARS}
-
-
-def levels(lang: str, classes: str) -> set[str]:
-    """The distinct texts at one nesting depth, with the brackets around them; none if brackets do not match."""
-    found: set[str] = set()
-    stack: list[list[str]] = [["$"]]
-    for part in _BRACKET.split(classes):
-        if part in FOLD:
-            stack.append([part])
-        elif part and part in ")]}":
-            group = "".join(stack.pop())
-            if not stack or group[0] + part not in ("()", "[]", "{}"):
-                return set()
-            if lang == "go" and part == "}" and stack[-1][-1][-1] == "T":
-                group = _METHOD.sub("P", group)
-            found.add(group + part)
-            stack[-1].append(FOLD[group[0]])
-        elif part:
-            stack[-1].append(part)
-    if len(stack) > 1:
-        return set()
-    found.add("".join(stack[0]) + "$")
-    if lang in _SHORT:
-        pattern, short = _SHORT[lang]
-        return {pattern.sub(short, x) for x in found}
-    return found
 
+def broken(lang: str, classes: str) -> list[str]:
+    """The classes around the place where statements break the grammar; none if they do not."""
+    whole = f"${classes}$"
+    at = reductions(lang).broken(whole)
+    return [] if at is None else [whole[max(0, at - SHOWN) : at + SHOWN]]
 
-def broken(lang: str, classes: str, permitted: frozenset[str]) -> list[str]:
-    """Statements that break a production, and windows that the grammar does not permit."""
-    texts = levels(lang, classes)
-    three = {w for x in texts for w in map("".join, zip(x, x[1:], x[2:]))}
-    end = _END.get(lang, _SEMICOLON)
-    statements = {s for x in texts for s in end.split(x[1:-1])}
-    wrong = {s for begins, must in _OF_LANGUAGE[lang] for s in statements if begins.search(s) and not must.search(s)}
-    return sorted(wrong | (three - permitted))
 
+def adjacent(classes: str) -> set[str]:
+    """Distinct pairs; a line end that only may end a statement stands between no pair."""
+    found: set[str] = set()
+    for part in f"${classes}$".split("\n"):
+        found.update(map("".join, zip(part, part[1:])))
+    return found
 
-def pieces(file_id: int, lang: str, text: str, permitted: frozenset[str]) -> list[tuple]:
-    """(file_id, language, error, pairs, what statements break, brackets by block) of one file."""
+
+def pieces(file_id: int, lang: str, text: str) -> list[tuple]:
+    """(file_id, language, error, pairs, where statements break, brackets by block) of one file."""
     classes, error = lex(lang, text)
     if error or not classes:
         return [(file_id, lang, error, [], [], [])] if error else []
-    whole = f"${classes}$"
-    adjacent = list(set(map("".join, zip(whole, whole[1:]))))
     blocks = [unmatched(classes[i : i + BLOCK]) for i in range(0, len(classes), BLOCK)]
-    return [(file_id, lang, "", adjacent, broken(lang, classes, permitted), blocks if any(blocks) else [])]
+    return [(file_id, lang, "", list(adjacent(classes)), broken(lang, classes), blocks if any(blocks) else [])]
+
+
+def judge(lang: str, text: str) -> str | None:
+    """What is wrong with one text, or None: the same three steps without tables."""
+    for _, _, error, near, statements, blocks in pieces(0, lang, text):
+        if error or statements or unmatched("".join(blocks)) or set(near) - pairs(lang):
+            return error or next(iter(statements), None) or unmatched("".join(blocks)) or min(set(near) - pairs(lang))
+    return None
 
 
 def findings(files: DataFrame) -> DataFrame:
     """file_id, reason (lexical, pair, statement, nesting), what: everything that is wrong with each file."""
     rows = files.select("file_id", "content", language("rel_path").alias("lang")).where("lang IS NOT NULL AND content IS NOT NULL AND content <> ''")
 
-    derived = {lang: "".join(sorted(windows(lang))) for lang in GRAMMARS}  # derived once; some hundred KB
-
     def one():
-        permitted = {lang: frozenset(map("".join, zip(*[iter(w)] * 3))) for lang, w in derived.items()}
-        return lambda file_id, content, lang: pieces(file_id, lang, content, permitted[lang])
+        return lambda file_id, content, lang: pieces(file_id, lang, content)
 
     lexed = map_rows(rows, one, "file_id bigint, lang string, error string, pairs array<string>, statements array<string>, blocks array<string>")
     parts = F.concat(

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclake.llm import origin, syntax
-from srclake.llm.grammars import GRAMMARS, derive, derive_windows, pairs, parse
+from srclake.llm.automata import Reductions
+from srclake.llm.grammars import GRAMMARS, derive, expand, pairs, parse
 from srclake.llm.lexing import lex, unmatched
 from tests.conftest import rows
 
@@ -137,6 +138,10 @@ def test_statements_at_their_own_depth(spark):
     assert rows(syntax.invalid(df)) == [(k,) for k in range(len(good), len(good) + len(TWO))]
 
 
-def test_windows():
-    rules = parse("file: $ item* $\nitem: a b? ; | c ( item ) ;")
-    assert derive_windows(rules) == {"$a;", "$ab", "ab;", "b;$", "b;a", "b;c", ";ab", ";a;", "a;$", "a;a", "a;c", "$c①", "c①;", "①;$", "①;a", "①;c", ";c①", "(a;", "a;)", "(ab", "b;)", "(c①", "①;)"}
+def test_reductions():
+    """Groups count by what they can be, recursion is exact, ; may be left out where the language lets it."""
+    r = Reductions(expand(parse("file: $ item* $\nitem: a b? ; | c ( item ) ; | d ( a% ) ; | if\nif: x item y item")), "$")
+    right = ["", "a;", "ab;a;", "c(ab;);", "d(a,a);", "a", "xa;ya;", "xxa;ya;yc(a;);"]
+    wrong = ["b;", "aa;", "c(a);", "d(a;);", "d(a,);", "xa;", "ya;", "c(a;)", "xxa;ya;"]
+    assert [r.broken(f"${t}$") for t in right] == [None] * len(right)
+    assert all(r.broken(f"${t}$") is not None for t in wrong[:-2]) and r.broken("$c(a;)$") is None and r.broken("$xxa;ya;$") is not None
