@@ -2,13 +2,14 @@
 
 Three steps on each text, in one Arrow pass without any shuffle:
 
-1. lines that hold a trigger (a word such as a secret's name, a URL with a user, a well-known token prefix, a key block)
-   are cut out;
-2. rules of context take the literal that could be a credential: the value given to a secret's name, a login header,
-   the password in an address, a signature in a link, a prefixed token anywhere, a private key block;
-3. the literal must look unnatural: few characters per subword of a public tokenizer (words of any language or
-   identifiers have four and more; random strings two), or be a private key. Placeholders, lookups, UUIDs, plain
-   words and numbers are no credentials.
+1. every quoted literal is rated by its characters per subword of a public tokenizer: words of any language and
+   identifiers have four and more, random strings two. What is under the bounds below is nominated as unnatural;
+2. rules of context say what a string is: the value given to a secret's name, a login header, the password in an
+   address, a signature in a link, a prefixed token, an argument after the user's name of a call that signs in, a
+   private key block. Values without quotes (configuration files, comments, headers, links) are cut out by these rules and
+   rated then;
+3. what is nominated and stands in such a context is a credential, unless it is a placeholder, a lookup or a UUID. Natural
+   words are credentials only where the context leaves no doubt: in an address, or as the whole value of a password's name.
 
 Masking keeps every offset: each character of the credential becomes 'x', line ends stay, nothing else changes.
 
@@ -19,6 +20,7 @@ the line on which the credential begins; a repeated row is reported under its ow
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from srclake.llm.common import TOKENIZER_DIR, encoder, map_rows
 UNNATURAL = 3.4
 #: The same for a value of a secret's name that mixes letters and digits, as pass phrases of words and a number do.
 UNNATURAL_MIXED = 4.6
+#: The same for letters of one case alone: short words may be two subwords.
+UNNATURAL_WORD = 2.4
 MASK = "x"
 
 _LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
@@ -41,10 +45,9 @@ _ASSIGNED = re.compile(
 #: A value to the end of the line or the next blank, in configuration files and in comments.
 _SETTING = re.compile(r"[\w.-]*[ \t]*(?P<by>[:=])[ \t]*(?P<value>[^\s\"'`{<$][^\n]*)")
 _COMMENTED = re.compile(r"[\w.-]*(?:[ \t]*(?P<by>[:=])[ \t]*|[ \t]+(?:(?:is|was|are|were)[ \t]+)?)[\"'`(]?(?P<value>[^\s\"'`{<$()][^\s\"'`]*)")
-_LOGIN = re.compile(r"[^\n:]{0,40}:[ \t]*[^\s/:]+[ \t]*[/:][ \t]*(?P<value>[^\s/\"'`,;]+)")
+_LOGIN = re.compile(r"[^\n:]*:[ \t]*[^\s/:]+[ \t]*[/:][ \t]*(?P<value>[^\s/\"'`,;]+)")
 _USER_OPTION = re.compile(r"[\"']?[^\s:\"']+:(?P<value>[^\s\"']+)")
 _COMMENT = re.compile(r"[ \t]*(?:#|//|/?\*|;|--|<!--|\"\"\"|''')|.*?[ \t;{}](?:#|//|/\*)[ \t]")
-_NAME_BACK = re.compile(r"[\w.$-]*\Z")
 _KEYS = ("api", "private", "signing", "session", "encryption", "access", "auth", "service", "account", "storage", "master", "shared", "ssh", "hmac", "jwt", "deploy", "license", "secret")
 _PASS = ("admin", "user", "root", "db", "smtp", "ldap", "mysql", "pg", "redis", "login")
 _ADDRESS = re.compile(r"://[^\s:/@\"'`<>]*:(?P<value>[^\s/@\"'`<>]+)@[\w\[]")
@@ -78,7 +81,7 @@ def _key_parts(text: str) -> list[tuple[int, int]]:
 
 #: Words that may begin a credential's context, by the rules that are then tried. Found in one pass over a lowered text.
 _WORDS = {
-    "name": ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key", "pass", "pw"],
+    "name": ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key", "pass", "pw", "auth", "kennwort", "passwort", "contrase", "motdepasse", "mot_de_passe", "senha", "wachtwoord"],
     "header": ["authorization", "x-auth-token", "x-api-key", "cookie"],
     "scheme": ["bearer ", "basic "],
     "login": ["login", " -u ", "--user "],
@@ -111,22 +114,84 @@ _CALL = re.compile(r"^[A-Za-z_][\w.:]*\(|^[A-Za-z_]\w*(?:\.[A-Za-z_]+)+$|^[A-Za-
 CONFIGURATION = ("ini", "env", "yaml", "yml", "json", "properties", "toml", "cfg", "conf", "txt")
 
 
+#: Names whose whole value is a password, also where it is a natural word.
+_PASSWORD_NAME = re.compile(r"(?:password|passwd|passphrase|passcode|pwd|passwort|kennwort|contrase(?:n|ñ)a|mot_?de_?passe|senha|wachtwoord)\d*$", re.I)
+_AUTH_NAME = re.compile(r"auth(?:_?(?:value|code|data|string))?$", re.I)
+#: A text about passwords, or one that is filled in.
+_SPEAKS = re.compile(r"pass|pwd|secret|token|key|enter|must|wrong|invalid|required|prompt|contrase|kennwort|%[sd]|[{}<>$]|\.\w+\.|://", re.I)
+_STRING = re.compile(_LITERAL)
+#: Calls that sign in; what comes after the user's name is the password.
+_SIGN_IN = re.compile(r"log_?(?:in|on)|sign_?(?:in|on)|session|connect|\bauth(?:enticate|orize)?\b|credential|bind|dial", re.I)
+_NO_PASSWORD = re.compile(r"[\s/\\<>]|^[\w.-]+@[\w-]+(?:\.[\w-]+)+$|^v?\d+(?:[.:_-]\d+)*$|^[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|io|test|example|local|internal)(?::\d+)?$", re.I)
+
+
 def characters_per_subword(value: str, folder: str = TOKENIZER_DIR) -> float:
     return len(value) / max(1, len(encoder(folder).encode_ordinary(value)))
 
 
+def _bound(value: str) -> float:
+    """Under how many characters per subword a value is unnatural."""
+    if value.isalpha() and (value.islower() or value.istitle()):
+        return UNNATURAL_WORD
+    return UNNATURAL_MIXED if any(map(str.isdigit, value)) and any(map(str.isalpha, value)) else UNNATURAL
+
+
 def _unnatural(value: str, folder: str) -> bool:
     return characters_per_subword(value, folder) < UNNATURAL
 
 
+def nominate(text: str, folder: str = TOKENIZER_DIR) -> list[tuple[int, int]]:
+    """Spans of the quoted literals of six and more characters that are unnatural, in order."""
+    found, known = [], {}
+    for m in _STRING.finditer(text):
+        a, b = m.start() + 1, m.end() - 1
+        if b - a < 6:
+            continue
+        value = text[a:b]
+        if value not in known:
+            known[value] = characters_per_subword(value, folder) < _bound(value)
+        if known[value]:
+            found.append((a, b))
+    return found
+
+
 def _secret_value(value: str, folder: str) -> bool:
-    """A literal given to a secret's name."""
-    if len(value) < 6 or " " in value.strip() or value.isdigit() or value.isalpha() and (value.islower() or value.istitle()) or _PLACEHOLDER.search(value) or _UUID.match(value):
+    """An unnatural value given to a secret's name."""
+    if len(value) < 6 or " " in value.strip() or value.isdigit() or _PLACEHOLDER.search(value) or _UUID.match(value):
         return False
     if "://" in value:
         return False  # an address is judged by its own rule
-    mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
-    return characters_per_subword(value, folder) < (UNNATURAL_MIXED if mixed else UNNATURAL)
+    return characters_per_subword(value, folder) < _bound(value)
+
+
+def _plain_password(name: str, value: str) -> bool:
+    """A natural word or number, or a phrase, as the whole value of a password's name."""
+    if not _PASSWORD_NAME.search(name) or len(value) < 6 or _PLACEHOLDER.search(value) or _SPEAKS.search(value):
+        return False
+    phrase = " " in value
+    return value == value.strip() and value.isprintable() and (not phrase or "phrase" in name.lower() or any(map(str.isdigit, value)))
+
+
+def _signs_in(text: str, a: int, b: int) -> bool:
+    """The literal is the last argument but not the first of a call that signs in, or of a pair given to "auth"."""
+    value = text[a:b]
+    if not any(map(str.isalpha, value)) or not any(c.isdigit() or c in "!#$%&*+=?^~" for c in value) or _NO_PASSWORD.search(value) or _PLACEHOLDER.search(value) or _UUID.match(value):
+        return False
+    k = b + 1
+    while k < len(text) and text[k].isspace():
+        k += 1
+    if text[k : k + 1] != ")":
+        return False
+    k, commas = a - 2, 0
+    while k >= 0 and (text[k].isalnum() or text[k] in "_.,\"'- \t\n\r@:/*&"):
+        commas += text[k] == ","
+        k -= 1
+    if not commas or k < 0 or text[k] != "(":
+        return False
+    end = k
+    while k > 0 and (text[k - 1].isalnum() or text[k - 1] in "_= \t"):
+        k -= 1
+    return bool(_SIGN_IN.search(text, k, end))
 
 
 def _spans_of_literals(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -147,10 +212,18 @@ def find(text: str | None, configuration: bool, folder: str = TOKENIZER_DIR) ->
                 keys.append((m.start(), m.end()))
                 found.append((m.start(), m.start(), "private_key"))
                 found += [(a, b, "private_key+") for a, b in parts]
+    taken: list[tuple[int, int]] = sorted(keys)  # spans that do not overlap
+
     def add(a: int, b: int, rule: str) -> None:
-        if not any(a < y and x < b for x, y, _ in found[-12:]) and not any(x <= a < y for x, y in keys):
+        k = bisect(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            taken.insert(k, (a, b))
             found.append((a, b, rule))
 
+    for a, b in nominate(text, folder):
+        if _signs_in(text, a, b):
+            add(a, b, "sign_in")
+
     low = text.lower()
     if len(low) != len(text):
         low = text.translate(_LOWER)
@@ -205,10 +278,13 @@ def _try_login(text, low, start, end, configuration, folder, add):
 
 def _try_name(text, low, start, end, configuration, folder, add):
     word = low[start:end]
-    if word == "key" and not low[max(0, start - 14) : start].rstrip("_.-").endswith(_KEYS):
+    before = start
+    while before and low[before - 1] in "_.-":
+        before -= 1
+    if word == "key" and not low.endswith(_KEYS, 0, before):
         return
     alone = False
-    if word in ("pass", "pw") and not low[max(0, start - 8) : start].rstrip("_.-").endswith(_PASS):
+    if word in ("pass", "pw") and not low.endswith(_PASS, 0, before):
         alone = not low[start - 1 : start].isalnum() and not low[end : end + 1].isalnum()
         if not alone:
             return
@@ -218,10 +294,15 @@ def _try_name(text, low, start, end, configuration, folder, add):
             return
         literals = _spans_of_literals(text, *m.span("value"))
         whole = "".join(text[a:b] for a, b in literals)
-        if _secret_value(whole, folder) and _named(_name(text, start, m), whole):
+        name = _name(text, start, m)
+        if word == "auth" and not _AUTH_NAME.search(name):
+            return
+        if _secret_value(whole, folder) and _named(name, whole) or m["by"] != "," and _plain_password(name, whole):
             for k, (a, b) in enumerate(literals):
                 add(a, b, "+" * bool(k) or "assignment")
         return
+    if word == "auth":
+        return
     if not configuration and text[end : end + 1] not in (" ", ":", "="):
         return
     begin = text.rfind("\n", 0, start) + 1
@@ -243,7 +324,10 @@ def _try_name(text, low, start, end, configuration, folder, add):
 
 def _name(text: str, start: int, m: re.Match) -> str:
     """The whole name in which the secret's word stands."""
-    before = _NAME_BACK.search(text[max(0, start - 80) : start])[0]
+    k = start
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_.$-"):
+        k -= 1
+    before = text[k:start]
     after = re.match(r"[\w.-]*", text[start : m.start("by")])[0]
     return before + after
 
