@@ -1,14 +1,16 @@
 """Problem 1: which source files people wrote, and which are generated, minified, vendored or data blobs.
 
 Belief propagation over each repository's directory tree. Every file and every directory is a variable with the
-five LABELS. A file's own evidence (its path, its file-level comments, its texture) is its unary factor; a
+five LABELS. A file's own evidence is what it says and looks like: signs in its comments, its base name, its texture, each
+as the likelihood of being seen under a label. Where it lies is no evidence of the file but of its directories: a
 directory's is its name. A file is tied to its directory and a directory to its parent by compatibility tables,
-so siblings speak to each other through the directory. The graph is a tree: one upward and one downward sweep of
-messages is exact.
+so a place speaks to all files below it and siblings speak to each other through the directory. The graph is a tree: one
+upward and one downward sweep of messages is exact.
 
 How it runs: one Arrow pass reads each text once and keeps five numbers a file. Messages to a directory are sums,
 so they are combined before the shuffle and a directory (or repository) with a third of all files is no hot
-spot. The sweeps work on directories only, one level at a time; each level is cut off with a checkpoint.
+spot; when beliefs go back to the files, directories of more than HOT files are joined in parts. The sweeps work on
+directories only, one level at a time; each level is cut off with a checkpoint.
 
 Defined results: null or empty content has no content evidence (location and name still count), and null content never goes
 out; rows whose path has none of the eight extensions, or a null path, are left out; a null repo_id is a repository of its own; repeated
@@ -77,39 +79,53 @@ def texture(text: str) -> tuple[float, float, float, int]:
     return repeats, data, blanks, max(map(len, text.split("\n")))
 
 
-def file_evidence(rel_path: str | None, text: str | None) -> list[float]:
-    """Log-likelihood of what is seen of the file under each label, up to a constant."""
-    e = [0.0] * N
-    hand, gen, mini, vend, blob = range(N)
-    path = (rel_path or "").replace("\\", "/")
-    name = path.rsplit("/", 1)[-1]
-    folders = [p.lower() for p in path.split("/")[:-1]]
-    if third_party(folders):
-        e[vend] += 9
-    if any(p in GENERATED_DIRS for p in folders):
-        e[gen] += 1.5
-    if GENERATED_NAME.search(name):
-        e[gen] += 6
-    if MINIFIED_NAME.search(name):
-        e[mini] += 6
-    if not text:  # nothing speaks for it but where it lies and how it is named
-        for label in (gen, mini, vend, blob):
-            e[label] -= 3
-        return e
-    if GENERATED_BY.search(text):
-        e[gen] += 9
-    e[vend] += 9 if VENDORED_FROM.search(text) else -3
+#: P(seen | label), labels in order; counted on the files of sf0.1, with at least FLOOR for what was never seen.
+FLOOR = 0.0005
+SEEN = {
+    "signed_generated": [FLOOR, 0.7, 0.01, 0.02, 0.02],
+    "signed_vendored": [FLOOR, 0.02, 0.1, 0.7, 0.02],
+    "generated_name": [FLOOR, 0.3, 0.01, 0.02, 0.01],
+    "minified_name": [FLOOR, 0.005, 0.4, 0.02, 0.005],
+}
+TEXTURE = {
+    "regular": [FLOOR, 0.85, 0.01, 0.02, 0.03],
+    "fairly_regular": [0.004, 0.08, 0.01, 0.02, 0.02],
+    "data": [FLOOR, 0.01, 0.01, 0.01, 0.85],
+    "some_data": [0.003, 0.01, 0.01, 0.01, 0.06],
+    "compact": [FLOOR, 0.01, 0.9, 0.02, 0.01],
+    "plain": [0.9915, 0.04, 0.06, 0.92, 0.03],
+}
+#: An empty file says nothing for itself, and is seldom worth leaving out.
+EMPTY = [0.0, -3.0, -3.0, -3.0, -3.0]
+
+
+def texture_class(text: str) -> str:
     repeats, data, blanks, longest = texture(text)
-    e[gen] += 7 if repeats > 0.6 and data < 0.5 else 3 if repeats > 0.45 and data < 0.5 else -3
-    e[blob] += 9 if data > 0.6 and len(text) >= 200 else 2 if data > 0.4 else -5
-    e[mini] += 8 if blanks < 0.09 and longest > 120 and data < 0.5 else -4
+    if data > 0.6 and len(text) >= 200:
+        return "data"
+    if data > 0.4:
+        return "some_data"
+    if repeats > 0.6:
+        return "regular"
+    if blanks < 0.09 and longest > 120:
+        return "compact"
+    return "fairly_regular" if repeats > 0.45 else "plain"
+
+
+def file_evidence(rel_path: str | None, text: str | None, signs: bool = True) -> list[float]:
+    """Log-likelihood of what is seen of the file itself under each label. ``signs``: also of what it says of itself."""
+    name = (rel_path or "").replace("\\", "/").rsplit("/", 1)[-1]
+    seen = {"generated_name": bool(GENERATED_NAME.search(name)), "minified_name": bool(MINIFIED_NAME.search(name))}
+    e = list(EMPTY)
+    if text:
+        e = [math.log(x) for x in TEXTURE[texture_class(text)]]
+        if signs:
+            seen |= {"signed_generated": bool(GENERATED_BY.search(text)), "signed_vendored": bool(VENDORED_FROM.search(text))}
+    for what, yes in seen.items():
+        e = [x + math.log(p if yes else 1 - p) for x, p in zip(e, SEEN[what])]
     return e
 
 
-def third_party(folders: list[str]) -> bool:
-    return any(p in VENDOR_DIRS for p in folders) or bool(folders) and folders[0] in VENDOR_ROOTS
-
-
 def _log_table(rows: list[list[float]]) -> list[list[float]]:
     return [[math.log(x / sum(r)) for x in r] for r in rows]
 
@@ -137,6 +153,12 @@ def _lse(values: list[Column]) -> Column:
     return top + F.log(total)
 
 
+def _vendor_place(path: Column) -> Column:
+    """The directory itself has a name under which copies lie."""
+    low = F.lower(path)
+    return F.element_at(F.split(low, "/"), -1).isin(*VENDOR_DIRS) | low.isin(*VENDOR_ROOTS)
+
+
 def _dir_evidence(path: Column) -> list[Column]:
     folders = F.split(F.lower(path), "/")
     vendored = F.exists(folders, lambda p: p.isin(*VENDOR_DIRS)) | folders[0].isin(*VENDOR_ROOTS)
@@ -145,16 +167,21 @@ def _dir_evidence(path: Column) -> list[Column]:
     return [zero, F.when(generated, 4.0).otherwise(zero), zero, F.when(vendored, 60.0).otherwise(zero), zero]
 
 
-def file_labels(files: DataFrame) -> DataFrame:
+#: Files of one directory that are joined with its belief in one part.
+HOT = 200_000
+
+
+def file_labels(files: DataFrame, signs: bool = True, propagate: bool = True) -> DataFrame:
     """file_id, repo_id, rel_path, language, label, confidence (posterior of the label) for each row of the languages.
 
-    ``files`` has file_id, repo_id, rel_path, content; other columns are ignored.
+    ``files`` has file_id, repo_id, rel_path, content; other columns are ignored. Without ``propagate`` each file is judged by
+    its own evidence, without ``signs`` also without what it says of itself; both are there to measure what they are worth.
     """
     rows = files.select("file_id", "repo_id", "rel_path", "content").where(language("rel_path").isNotNull())
 
     def evidence():
         def one(file_id, repo_id, rel_path, content):
-            e = file_evidence(rel_path, content)
+            e = file_evidence(rel_path, content, signs)
             folder = rel_path.replace("\\", "/").strip("/")
             folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
             return [(file_id, repo_id, rel_path, repo_id or "", folder, *e, *file_message(e))]
@@ -165,10 +192,12 @@ def file_labels(files: DataFrame) -> DataFrame:
     numbers = ", ".join(f"{c} double" for c in e + m)
     seen = stable(map_rows(rows, evidence, f"file_id bigint, repo_id string, rel_path string, repo string, dir string, {numbers}"))
 
+    if not propagate:
+        return _labelled(seen, [F.col(e[f]) + ROOT[f] for f in range(N)])
     # Directories: sums of the files' messages, and every ancestor as a node of its own.
     key = ["repo", "dir"]
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    local = seen.groupBy(key).agg(*[F.sum(c).alias(c) for c in m])
+    local = seen.groupBy(key).agg(*[F.sum(c).alias(c) for c in m], F.count("*").alias("files"))
     parts = F.split("dir", "/")
     above = local.select(
         "repo",
@@ -179,6 +208,7 @@ def file_labels(files: DataFrame) -> DataFrame:
         above.join(local, key, "left").select(
             *key, depth.alias("depth"),
             *[(F.coalesce(F.col(c), F.lit(0.0)) + own[i] + F.lit(0.0)).alias(f"b{i}") for i, c in enumerate(m)],
+            F.coalesce("files", F.lit(0)).alias("files"),
         )
     )
     b, u, t = [[f"{x}{i}" for i in range(N)] for x in "but"]
@@ -192,7 +222,9 @@ def file_labels(files: DataFrame) -> DataFrame:
         if levels:
             told = levels[-1].groupBy("repo", F.col("parent").alias("dir")).agg(*[F.sum(c).alias(c) for c in u])
             level = level.join(told, key, "left").select(*key, "depth", *[(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))).alias(x) for x, y in zip(b, u)])
-        told = [_lse([F.col(b[c]) + DIR_GIVEN_DIR[p][c] for c in range(N)]).alias(u[p]) for p in range(N)]
+        # That someone keeps copies under such a name says nothing of the directory around it.
+        placed = _vendor_place(F.col("dir"))
+        told = [F.when(placed, F.lit(0.0)).otherwise(_lse([F.col(b[c]) + DIR_GIVEN_DIR[p][c] for c in range(N)])).alias(u[p]) for p in range(N)]
         levels.append(stable(level.select(*key, parent, "depth", *b, *told)))
     top = levels.pop().select(*key, *[(F.col(x) + ROOT[i]).alias(x) for i, x in enumerate(b)])
     beliefs = [top]
@@ -204,8 +236,15 @@ def file_labels(files: DataFrame) -> DataFrame:
     all_dirs = beliefs[0]
     for x in beliefs[1:]:
         all_dirs = all_dirs.unionByName(x)
+    hot = dirs.where(F.col("files") > HOT).select(*key, F.ceil(F.col("files") / HOT).cast("int").alias("parts"))  # at most a row for each HOT files
+    seen = seen.join(F.broadcast(hot), key, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("file_id"), "parts").cast("int"))).drop("parts")
+    all_dirs = all_dirs.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     final = [F.col(e[f]) + _lse([F.col(b[d]) - F.col(m[d]) + FILE_GIVEN_DIR[d][f] for d in range(N)]) for f in range(N)]
-    scored = seen.join(all_dirs, key).select("file_id", "repo_id", "rel_path", *[x.alias(f"s{i}") for i, x in enumerate(final)])
+    return _labelled(seen.join(all_dirs, [*key, "part"]), final)
+
+
+def _labelled(rows: DataFrame, scores: list[Column]) -> DataFrame:
+    scored = rows.select("file_id", "repo_id", "rel_path", *[x.alias(f"s{i}") for i, x in enumerate(scores)])
     s = [F.col(f"s{i}") for i in range(N)]
     best = F.greatest(*s)
     label = F.lit(LABELS[-1])

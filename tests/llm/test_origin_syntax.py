@@ -42,6 +42,21 @@ def test_siblings_speak(spark):
     assert by["r", "proto/tiny.py"] < by["q", "proto/tiny.py"]
 
 
+def test_place_is_known_by_propagation_alone(spark, monkeypatch):
+    """Copies are told by their directory, however deep and many they are; files beside it are not, nor with hot directories."""
+    df = table(
+        spark, *[("r", f"third_party/zip/src/f{k}.py", "python", HAND + f"# {k}\n") for k in range(30)], ("r", "third_party/__init__.py", "python", ""), ("r", "main.py", "python", HAND),
+        *[("r", f"proto/m{k}.js", "javascript", "// @generated by tool\n" + HAND) for k in range(8)], ("r", "proto/t.js", "javascript", "\n".join(f"op({k % 4});" for k in range(9)) + "\n" + "\n".join(f"word{c} = q.{c}{c};" for c in "abcdefg")),
+    )
+    label = lambda **k: {r["rel_path"]: r["label"] for r in origin.file_labels(df, **k).collect()}
+    with_, without = label(), label(propagate=False)
+    assert [with_[f"third_party/zip/src/f{k}.py"] for k in range(30)] == ["vendored"] * 30 and with_["main.py"] == "handwritten"
+    assert [without[f"third_party/zip/src/f{k}.py"] for k in range(30)] == ["handwritten"] * 30
+    assert (without["proto/t.js"], with_["proto/t.js"]) == ("handwritten", "generated")
+    monkeypatch.setattr(origin, "HOT", 7)
+    assert label() == with_
+
+
 def test_propagation_is_exact(spark):
     """Against the sum over all labellings of a small tree."""
     import itertools
