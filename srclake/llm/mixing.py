@@ -4,10 +4,11 @@ The size of the mix is the number of tokens of all documents whose source has a
 passes over its documents as fit its budget; what remains is a subset sum over the documents' token lengths:
 
 1. documents are counted by source and exact token length (combined before the shuffle);
-2. each source's histogram is fitted on its own: the remaining share of every length, rounded down, then long lengths
-   first, and the last WINDOW tokens by a bounded-knapsack table that reaches the sum nearest to the budget; where that
-   misses the budget, the table is run over the whole of what remains, in units of the lengths' gcd, if it has at most
-   TABLE sums and CELLS steps;
+2. each source's histogram is fitted on its own. Most of the remainder is a sample: of every length its share of the
+   documents, fractions settled by seeded draws, one in each stratum of the lengths in order, so that short and long documents
+   stay as they are mixed in the source. What is still open is met exactly by a bounded-knapsack table over the documents that are left;
+   while the table misses, more is left open to it, up to the whole remainder (as far as TABLE sums and CELLS steps allow, in
+   units of the lengths' gcd);
 3. of each (source, length) the wanted number of documents is taken in the order of a seeded hash. Groups of more than
    GROUP documents are first counted by hash bucket, so that only the bucket of the cut is ranked.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from srclake.llm.common import TOKENIZER_DIR, encoder, key_text, map_rows, stable
 
-#: The last so many tokens of a budget are filled by the table.
-WINDOW = 8192
+#: Mean lengths that are left open to the table at first.
+OPEN = 2
 #: Sums and steps (sums times lengths) up to which a table over a whole budget is run.
 TABLE, CELLS = 1 << 21, 1 << 28
 #: Documents of one source and length that are ranked together.
@@ -58,37 +59,34 @@ def reach(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
 
     if budget <= 0 or not lengths:
         return {}
-    open_ = np.full(budget + 1, -1, dtype=np.int64)  # index of the length by which a sum was first reached
-    used = np.zeros(budget + 1, dtype=np.int64)
+    first = np.full(budget + 1, -1, dtype=np.int32)  # the item by which a sum was first reached
     reached = np.zeros(budget + 1, dtype=bool)
     reached[0] = True
-    for k, (size, most) in enumerate(zip(lengths, counts)):
-        if size > budget:
-            continue
-        before = reached.copy()
-        times = np.zeros(budget + 1, dtype=np.int64)
-        for lo in range(size, budget + 1, size):  # sums lo.. lo+size-1 come from the block before
-            hi = min(lo + size, budget + 1)
-            prev = slice(lo - size, hi - size)
-            can = reached[prev] & ~reached[lo:hi] & (times[prev] < most)
-            times[lo:hi] = np.where(can, times[prev] + 1, 0)
-            reached[lo:hi] |= can
-        new = reached & ~before
-        open_[new] = k
-        used[new] = times[new]
-        if reached[budget]:
-            break
+    items: list[tuple[int, int]] = []  # (length, how many): counts are cut into powers of two, so that any count is a sum of items
+    for size, most in zip(lengths, counts):
+        most, many = min(most, budget // size), 1
+        while most > 0 and not reached[budget]:
+            many = min(many, most)
+            most -= many
+            shift = size * many
+            new = reached[: budget + 1 - shift] & ~reached[shift:]
+            first[shift:][new] = len(items)
+            reached[shift:] |= new
+            items.append((size, many))
+            many *= 2
     at = int(np.flatnonzero(reached)[-1])
     chosen: dict[int, int] = {}
     while at:
-        k = int(open_[at])
-        chosen[lengths[k]] = chosen.get(lengths[k], 0) + int(used[at])
-        at -= int(used[at]) * lengths[k]
+        size, many = items[int(first[at])]
+        chosen[size] = chosen.get(size, 0) + many
+        at -= size * many
     return chosen
 
 
-def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int) -> tuple[int, dict[int, int]]:
+def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int, seed: int = 17) -> tuple[int, dict[int, int]]:
     """(whole passes, documents of each length to take once more) for a budget of tokens."""
+    import numpy as np
+
     histogram = sorted((size, n) for size, n in histogram if size > 0 and n > 0)
     total = sum(size * n for size, n in histogram)
     if not total or budget <= 0:
@@ -96,35 +94,59 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int) -> tupl
     if max_repeats * total <= budget:
         return max_repeats, {}
     passes = budget // total
-    rest = whole = budget - passes * total
-    share = rest / total
-    extra = {size: int(n * share) for size, n in histogram}
-    rest -= sum(size * k for size, k in extra.items())
-    while rest < 0:  # the share was rounded up by a hair on a huge count
-        size = next(s for s in sorted(extra, reverse=True) if extra[s])
-        extra[size] -= 1
-        rest += size
-    left = {size: n - extra[size] for size, n in histogram}
-    for size in sorted(left, reverse=True):
-        k = min(left[size], max(0, rest - WINDOW) // size)
-        extra[size] += k
-        left[size] -= k
-        rest -= k * size
-    sizes = [s for s in sorted(left, reverse=True) if left[s]]
-    for size, k in reach(sizes, [left[s] for s in sizes], min(rest, WINDOW + (sizes[-1] if sizes else 0))).items():
-        extra[size] += k
-    if sum(size * k for size, k in extra.items()) < whole:
-        unit = gcd(*(size for size, _ in histogram))
-        fits = [(size // unit, n) for size, n in reversed(histogram) if size <= whole]
-        sums = whole // unit
-        if fits and sums <= TABLE and sums * len(fits) <= CELLS and sum(sums // size for size, _ in fits) <= TABLE:
-            found = reach([size for size, _ in fits], [n for _, n in fits], sums)
-            if sum(size * unit * k for size, k in found.items()) > sum(size * k for size, k in extra.items()):
-                extra = {size * unit: k for size, k in found.items()}
-    return passes, {s: k for s, k in extra.items() if k}
-
-
-def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
+    rest = budget - passes * total
+    if not rest:
+        return passes, {}
+    rng = np.random.default_rng([seed, rest, total])
+    unit = gcd(*(size for size, _ in histogram))
+    sizes = np.array([size for size, _ in histogram], dtype=np.int64)
+    counts = np.array([n for _, n in histogram], dtype=np.int64)
+    left_open = OPEN * -(-total // int(counts.sum()))
+    best: dict[int, int] = {}
+    nearest = -1
+    while True:
+        drawn = _draw(sizes, counts, max(0, rest - left_open) / total, rest, rng)
+        gap = (rest - int((drawn * sizes).sum())) // unit
+        order = rng.permutation(len(sizes))
+        fits = [k for k in order.tolist() if drawn[k] < counts[k] and sizes[k] <= gap * unit]
+        if nearest >= 0 and (gap > TABLE or gap * len(fits) > CELLS):
+            break
+        filled = reach([int(sizes[k]) // unit for k in fits], [int(counts[k] - drawn[k]) for k in fits], gap)
+        met = rest - gap * unit + sum(size * unit * k for size, k in filled.items())
+        if met > nearest:
+            best = {int(s): int(k) for s, k in zip(sizes, drawn) if k}
+            for size, k in filled.items():
+                best[size * unit] = best.get(size * unit, 0) + k
+            nearest = sum(size * k for size, k in best.items())
+        if nearest > rest - unit or left_open >= rest:
+            break
+        left_open *= 4
+    return passes, best
+
+
+def _draw(sizes, counts, share: float, most: int, rng):
+    """Of each length about ``share`` of the documents, at most ``most`` tokens in all; lengths are in order."""
+    import numpy as np
+
+    wanted = counts * share
+    taken = np.floor(wanted).astype(np.int64)
+    cumulated = np.cumsum(wanted - taken)
+    strata = int(cumulated[-1])
+    if strata:
+        points = np.arange(strata) + rng.random(strata)
+        hits = np.minimum(np.searchsorted(cumulated, points, side="right"), len(sizes) - 1)
+        taken = np.minimum(taken + np.bincount(hits, minlength=len(sizes)), counts)
+    over = int((taken * sizes).sum()) - most
+    for k in rng.permutation(len(sizes)).tolist() if over > 0 else []:
+        less = min(int(taken[k]), -(-over // int(sizes[k])))
+        taken[k] -= less
+        over -= less * int(sizes[k])
+        if over <= 0:
+            break
+    return taken
+
+
+def plan(lengths: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """key, source, target_share, max_repeats, size, n, passes, extra, budget, available: one row for each source and length."""
     histogram = stable(lengths.groupBy("key", F.col("tokens").alias("size")).agg(F.count("*").alias("n")))
     total = histogram.agg(F.coalesce(F.sum(F.col("size").cast("bigint") * F.col("n")), F.lit(0))).first()[0]
@@ -138,7 +160,7 @@ def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
         first = frame.iloc[0]
         have = frame.dropna(subset=["n"])
         sizes, counts = have["size"].astype("int64").tolist(), have["n"].astype("int64").tolist()
-        passes, extra = fit(list(zip(sizes, counts)), int(round(first["budget"])), int(first["max_repeats"]))
+        passes, extra = fit(list(zip(sizes, counts)), int(round(first["budget"])), int(first["max_repeats"]), seed)
         available = sum(s * n for s, n in zip(sizes, counts))
         if not sizes:
             sizes, counts = [0], [0]
@@ -151,24 +173,25 @@ def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.groupBy("source").applyInPandas(choose, schema)
 
 
-def shares(lengths: DataFrame, targets: DataFrame) -> DataFrame:
+def shares(lengths: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """source, target_share, max_repeats, available_tokens, budget_tokens, mix_tokens, actual_share (of the whole mix), short."""
     size = F.col("size").cast("bigint")
     got = F.sum(size * (F.col("n") * F.col("passes") + F.col("extra")))
-    by = plan(lengths, targets).groupBy("source", "target_share", "max_repeats", "available", "budget").agg(got.alias("mix_tokens"))
+    by = plan(lengths, targets, seed).groupBy("source", "target_share", "max_repeats", "available", "budget").agg(got.alias("mix_tokens"), F.min("passes").alias("passes"))
     whole = Window.partitionBy()  # a row a source
     mixed = F.sum("mix_tokens").over(whole)
     return by.select(
         "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.round("budget").cast("bigint").alias("budget_tokens"), "mix_tokens",
         F.when(mixed > 0, F.col("mix_tokens") / mixed).otherwise(F.lit(0.0)).alias("actual_share"),
-        (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("short"),
+        # The plan has taken all, as often as it may, and does not reach the budget.
+        ((F.col("mix_tokens") < F.col("budget")) & ((F.col("available") == 0) | (F.col("passes") >= F.col("max_repeats")))).alias("short"),
     )
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, folder: str = TOKENIZER_DIR) -> DataFrame:
     """doc_id, source, tokens, repeats of the chosen documents."""
     lengths = stable(token_lengths(documents, targets, folder))
-    wanted = plan(lengths, targets).where("passes > 0 OR extra > 0").select("key", "source", F.col("size").alias("tokens"), "n", "passes", "extra")
+    wanted = plan(lengths, targets, seed).where("passes > 0 OR extra > 0").select("key", "source", F.col("size").alias("tokens"), "n", "passes", "extra")
     wanted = stable(wanted.withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int")))
     placed = lengths.where("tokens > 0").join(wanted, ["key", "tokens"]).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     # Hash ranges in order: whole ranges before the cut are taken, the range of the cut is ranked.

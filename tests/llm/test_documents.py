@@ -77,6 +77,33 @@ def test_fit(histogram, budget, most, want):
     assert passes * sum(s * n for s, n in histogram) + total <= budget
 
 
+@pytest.mark.parametrize("histogram", [[(50 + k, 1) for k in range(1000)], [(20 + k * k % 977, 1 + k % 7) for k in range(300)]])
+@pytest.mark.parametrize("share", [0.1, 1 / 3, 0.5, 0.9, 1.4])
+def test_the_rest_is_a_sample(histogram, share):
+    """The budget is met exactly, the mean length is the source's, and seeds differ."""
+    merged: dict[int, int] = {}
+    for size, n in histogram:
+        merged[size] = merged.get(size, 0) + n
+    total, n = sum(s * k for s, k in merged.items()), sum(merged.values())
+    budget, chosen = int(total * share), []
+    for seed in (1, 2):
+        passes, extra = mixing.fit(list(merged.items()), budget, 3, seed)
+        assert passes == int(share) and passes * total + sum(s * k for s, k in extra.items()) == budget
+        assert all(k <= merged[s] for s, k in extra.items())
+        assert sum(s * k for s, k in extra.items()) / sum(extra.values()) == pytest.approx(total / n, rel=0.05)
+        chosen.append(extra)
+    assert chosen[0] != chosen[1]
+
+
+def test_reach_is_best():
+    import itertools
+
+    for lengths, counts, budget in [([5, 3], [2, 4], 11), ([7, 4, 9], [3, 2, 1], 26), ([6, 10], [5, 5], 31), ([8], [3], 7)]:
+        got = mixing.reach(lengths, counts, budget)
+        best = max(x for x in (sum(a * b for a, b in zip(lengths, k)) for k in itertools.product(*[range(c + 1) for c in counts])) if x <= budget)
+        assert sum(s * k for s, k in got.items()) == best and all(got.get(s, 0) <= c for s, c in zip(lengths, counts))
+
+
 def test_shares(spark):
     targets = spark.createDataFrame([("Issue", 0.5, 1), ("qa", 0.1, 2), ("none", 0.2, 3), ("null", None, None)], "source string, target_share double, max_repeats int")
     d = docs(spark, *[(k, "some words here " * 30, " ISSUE ") for k in range(20)], *[(100 + k, "some words here " * (k + 1), "Qa") for k in range(30)], (500, None, "qa"), (501, "x", None), (502, "x", "other"), (503, "", "qa"))
