@@ -2,14 +2,15 @@
 
 Balanced targets: the least number of pieces that can hold the text is worked out, cuts are aimed at equal distances,
 and each is moved to the strongest boundary near its target (before a definition, after a blank line, at a line, at
-a blank, anywhere), the nearest of equals. If a piece then is over the limit, one more piece is aimed at. Every piece
-but the first begins ``overlap`` characters before the cut, so consecutive pieces share exactly that many.
+a blank, anywhere), the nearest of equals. If what is left then does not fit the number of pieces, one more is aimed at from
+there on, so each part of a text is looked at once. Every piece but the first begins ``overlap`` characters before the cut, so consecutive pieces share exactly that many.
 
 Texts within the limit are dropped in the scan by their length; each longer text is cut on its own, so there is no
-shuffle and no group. Only the neighbourhood of each target is searched.
+shuffle and no group.
 
 Defined results: null text and text within the limit give no rows; limits count code points; a null or missing limit means
-no cutting; of several limits for an origin the smallest counts; a null start_line counts as 1; \\r\\n is never cut in two;
+no cutting; of several limits for an origin the smallest counts; a null start_line counts as 1; \\r\\n is never cut in two
+(unless a limit leaves room for one character only);
 repeated rows are each cut; an overlap that is null or negative is 0 and one of max_chars or more is max_chars - 1
 (then pieces advance by a character).
 """
@@ -27,7 +28,7 @@ _DEFINITION = re.compile(
     r"(?:@|(?:(?:pub(?:lic|\(\w+\))?|private|protected|internal|static|final|abstract|async|export|default|unsafe|const|virtual|inline|override|extern)\s+)*"
     r"(?:def|class|func|function|fn|impl|interface|struct|enum|trait|type|namespace|module|mod|void)\b|[A-Za-z_][\w:<>,\[\] *&]*\s[*&]?[A-Za-z_~][\w:]*\([^;]*\{\s*$|(?:///?|/\*\*|#)(?!include))"
 )
-#: How far from its target, as a share of the distance between targets, a cut may be moved.
+#: How far from its target, as a share of the distance between targets, a cut is looked for first.
 REACH = 0.3
 
 
@@ -47,53 +48,57 @@ def _strength(text: str, at: int) -> tuple[int, int]:
     return 2, -indent
 
 
-def _snap(text: str, target: int, low: int, high: int) -> int:
-    """The best cut in [low, high]."""
-    best, found = (0, 0, -1), target
+def _in_line_end(text: str, at: int) -> bool:
+    return text[at - 1] == "\r" and text[at : at + 1] == "\n"
+
+
+def _at_line(text: str, target: int, low: int, high: int) -> int:
+    """The strongest cut between lines in [low, high], nearest to the target among equals; 0 if there is none."""
+    best, found = (0, 0, 0), 0
     at = text.find("\n", max(0, low - 1), high)
     while 0 <= at < high:
         here = at + 1
-        if here >= low and here < len(text):
+        if low <= here < len(text):
             value = (*_strength(text, here), -abs(here - target))
-            if value > best:
+            if not found or value > best:
                 best, found = value, here
         at = text.find("\n", at + 1, high)
-    if best[0]:
-        return found
-    for here in range(target, low - 1, -1):  # within one long line: at a blank
-        if text[here - 1].isspace():
+    return found
+
+
+def _at_blank(text: str, target: int, low: int, high: int) -> int:
+    """The last cut after a blank in [low, target], else the target; beside a line end it would cut in two."""
+    for here in range(target, low - 1, -1):
+        if text[here - 1].isspace() and not _in_line_end(text, here):
             return here
-    if text[target - 1] == "\r" and text[target : target + 1] == "\n":
-        return target - 1 if target - 1 >= max(low, 1) else target + 1
-    return target
+    if not _in_line_end(text, target):
+        return target
+    return target - 1 if target - 1 >= low else min(target + 1, high)
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
-    """Inner cut positions; piece k is text[cut k - overlap : cut k+1]."""
+    """Inner cut positions; piece k is text[cut k - overlap : cut k+1].
+
+    The minimum number of pieces for what is left gives the next target; where a cut that was moved leaves too much for that
+    number, there is one piece more. A cut is looked for near its target first (REACH), then anywhere its piece may end.
+    """
     size = len(text)
     if size <= limit:
         return []
     room = limit - overlap
-    count = -(-(size - overlap) // room)
-    while True:
-        step = size / count
+    made, last = [], 0
+    while size - last > (room if last else limit):
+        step = (size - last) / -(-(size - last - (0 if last else overlap)) // room)
+        most = min(size - 1, last + room if last else limit)
+        target = min(max(last + round(step), last + 1), most)
         reach = int(step * REACH)
-        made, last = [], 0
-        for k in range(1, count):
-            target = min(size - 1, max(last + 1, round(k * step)))
-            # A cut must leave the piece before it within the limit.
-            most = (limit if not made else last + room)
-            low, high = max(last + 1, target - reach), min(size - 1, target + reach, most)
-            if high < low:
-                made = None
-                break
-            last = _snap(text, min(max(target, low), high), low, high)
-            made.append(last)
-        if made is not None and size - made[-1] + overlap <= limit and all(b - a + overlap <= limit for a, b in zip(made, made[1:])) and made[0] <= limit:
-            return made
-        if step <= 2:
-            return list(range(limit, size, room))
-        count += 1
+        last = (
+            _at_line(text, target, max(last + 1, target - reach), min(target + reach, most))
+            or _at_line(text, target, last + 1, most)
+            or _at_blank(text, target, last + 1, most)
+        )
+        made.append(last)
+    return made
 
 
 def split(text: str, limit: int, overlap: int, first_line: int = 1) -> list[tuple[int, int, int, int, int, str]]:
