@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import map_rows
+from srclake.llm.common import map_rows, stable
 
 #: Characters of item text whose n-grams are broadcast at once.
 BLOCK = 16_000_000
@@ -39,17 +39,19 @@ class Index:
 
         self.n, self.known = n, _Known()
         self.items: list[tuple[int, list[int]]] = []
-        hashes, where = [], []
+        hashes, owners, places = [], [], []
         for item_id, text in items:
             words = [self.known.setdefault(w, len(self.known)) for w in _WORD.findall((text or "").lower())]
             if len(words) >= n:
                 h = self.hashes(np.array(words, dtype=np.int64))
                 hashes.append(h)
-                where += [(len(self.items), k) for k in range(len(h))]
+                owners.append(np.full(len(h), len(self.items), dtype=np.int32))
+                places.append(np.arange(len(h), dtype=np.int32))
                 self.items.append((item_id, words))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.sorted, self.where = flat[order], [where[k] for k in order]
+        self.sorted = flat[order]
+        self.owner, self.place = (np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int32) for x in (owners, places))
 
     def hashes(self, ids):
         import numpy as np
@@ -78,7 +80,7 @@ class Index:
         found: dict[tuple[int, int], list[int]] = {}
         for at, lo, hi in zip(windows.tolist(), left.tolist(), right.tolist()):
             for k in range(lo, hi):
-                item, place = self.where[k]
+                item, place = int(self.owner[k]), int(self.place[k])
                 if self.items[item][1][place : place + self.n] == ids[at : at + self.n].tolist():
                     found.setdefault((item, at - place), []).append(at)
         out: dict[int, list[tuple[int, int, int]]] = {}
@@ -92,22 +94,24 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame, n: int) -> list[Index]:
+def _parts(items: DataFrame) -> int:
+    """Blocks of about BLOCK characters that the items are taken in."""
     size = items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // BLOCK))
+    return max(1, -(-int(size) // BLOCK))
+
+
+def _index(items: DataFrame, block: int, parts: int, n: int) -> Index:
     texts = items.select("item_id", "item_text").where("item_id IS NOT NULL AND item_text IS NOT NULL")
-    return [
-        Index([(r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "item_text").collect()], n)
-        for k in range(parts)
-    ]
+    return Index([(r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == block).orderBy("item_id", "item_text").collect()], n)
 
 
 def leaks(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     """doc_id, item_id, words (matching, of the item), item_words, share, spans (start, end offsets in the text)."""
     rows = documents.select("doc_id", "text").where("text IS NOT NULL")
     out: DataFrame | None = None
-    for index in _blocks(items, n):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    parts = _parts(items)
+    for block in range(parts):
+        shared = documents.sparkSession.sparkContext.broadcast(_index(items, block, parts, n))
 
         def scan(shared=shared):
             index = shared.value
@@ -129,6 +133,9 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
             return one
 
         part = map_rows(rows, scan, "doc_id bigint, item_id bigint, words int, item_words int, share double, spans array<struct<start:int,end:int>>")
+        if parts > 1:  # one block at a time, on the driver as on the executors
+            part = stable(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
