@@ -96,7 +96,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with documentation of their own; what a method inherits is not its own."""
     from srclake.llm import docpairs
 
-    return docpairs.documented(table(spark, folder, "chunks")).where("doc_source <> 'inherited'").select("chunk_seq")
+    return docpairs.documented(table(spark, folder, "chunks"), inherit=False).select("chunk_seq")
 
 
 @query()
