@@ -53,6 +53,23 @@ def encoder(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Rows of one key that are joined in one part.
+HOT = 100_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: list[str], count: str, spread: str, hot: int | None = None) -> DataFrame:
+    """Equi-join in which a key with more than ``hot`` rows of ``big`` (``small`` holds one row a key, with their number in
+    ``count``) is cut into parts by a hash of ``spread``; ``small`` is repeated for those keys alone.
+
+    The hot keys are broadcast: they are at most the rows of ``big`` divided by ``hot``.
+    """
+    most = HOT if hot is None else hot
+    parts = small.where(F.col(count) > most).select(*key, F.ceil(F.col(count) / most).cast("int").alias("__parts"))
+    left = big.join(F.broadcast(parts), key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), "__parts").cast("int"))).drop("__parts")
+    right = small.join(F.broadcast(parts), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*key, "__part"]).drop("__part")
+
+
 def map_rows(df: DataFrame, rows: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
     """Arrow-batched flat map. ``rows()`` runs once a task and gives a function of a row's values that gives
     output rows; batches are written out every few thousand rows or megabytes, so one large text never gathers

@@ -13,8 +13,9 @@ carried over from overlap to Jaccard similarity by prefixes:
   candidate. The size that parts light from heavy is the one with the least cost by a histogram of both over all classes.
 - Candidates are verified on the whole sets.
 
-Lists longer than LIST are cut into blocks and joined block by block, classes of more members than LIST likewise, so
-no key goes to one task; nothing is capped. What reaches the driver is the sketch (SKETCH counters) and the cost
+Lists longer than LIST are cut into blocks and joined block by block, classes of more members than LIST likewise. Where rows
+first meet the number of their signature, token or subset, keys of very many rows are cut into parts (``common.hot_join``),
+so no key goes to one task; nothing is capped. What reaches the driver is the sketch (SKETCH counters) and the cost
 histogram (some hundred rows), whatever the input.
 
 Defined results: null code and texts of fewer than ``least_words`` words take no part; identical texts are pairs of
@@ -29,7 +30,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclake.llm.common import is_routine, map_rows, stable
+from srclake.llm.common import hot_join, is_routine, map_rows, stable
 
 #: Counters of the sketch that orders tokens.
 SKETCH = 1 << 16
@@ -108,7 +109,7 @@ def signatures(chunks: DataFrame, width: int, least_words: int) -> tuple[DataFra
 
     seen = stable(_texts(chunks).mapInArrow(scan, "seq bigint, sig binary, bucket int, cnt bigint"))
     ids = seen.where("seq IS NOT NULL").groupBy("sig").agg(F.min("seq").alias("cls"), F.count("*").alias("members"))
-    membership = stable(seen.where("seq IS NOT NULL").select("seq", "sig").join(ids, "sig").select(F.col("seq").alias("chunk_seq"), "cls", "members"))
+    membership = stable(hot_join(seen.where("seq IS NOT NULL").select("seq", "sig"), ids, ["sig"], "members", "seq").select(F.col("seq").alias("chunk_seq"), "cls", "members"))
     counted = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toPandas()
     sketch = np.zeros(SKETCH, dtype=np.int64)
     sketch[counted["bucket"].to_numpy(dtype=np.int64)] = counted["cnt"].to_numpy()
@@ -153,7 +154,7 @@ def _bucket(tokens):
 def _join_on(postings: DataFrame, key: list[str], keep: Column) -> DataFrame:
     """Pairs (a, b) of classes that share a key; lists longer than LIST are joined block by block."""
     size = postings.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").withColumn("blocks", _blocks(F.col("k")))
-    listed = postings.join(size, key).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    listed = hot_join(postings, size, key, "k", "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = listed.select(*key, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("heavy").alias("ha"), F.col("block").alias("i"), every.alias("j"))
     right = listed.select(*key, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("heavy").alias("hb"), every.alias("i"), F.col("block").alias("j"))
@@ -171,7 +172,7 @@ def similar_classes(chunks: DataFrame, membership: DataFrame, sketch, threshold:
     posted = prefixed.select("cls", "n", F.explode("tokens").alias("token"))
     # Tokens that only one class has posted meet nobody. Counting by token keeps the rest with the length of its list.
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = stable(posted.join(often, "token"))
+    met = stable(hot_join(posted, often, ["token"], "df", "cls"))
     # Cost by size: subsets that a class as a light one posts (sorted and shuffled SUBSET times as wide as a pair), against
     # pairs that it takes part in on lists as a heavy one.
     step = F.floor(F.log2("n") * 4).cast("int")

@@ -31,6 +31,29 @@ def test_split_covers(text, limit, overlap):
         assert y[0] == x[0] + 1 and x[2] - y[1] == min(o, x[2]) and y[2] > x[2]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc ", "\r\n", "\r\n\r\n", "def f():\r\n", "x" * 30]), max_size=60).map("".join), st.integers(2, 40), st.integers(0, 30))
+def test_split_keeps_line_ends(text, limit, overlap):
+    if overlap < limit - 1:
+        assert not any(text[b - 1] == "\r" and text[b] == "\n" for b in splitting.cuts(text, limit, overlap))
+
+
+def test_split_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for text, limit, overlap in [("ab c" * 50_000, 4000, 3990), ("word\n" * 200_000, 6000, 300), ("x" * 2_000_000, 3000, 100)]:
+        edges = [0, *splitting.cuts(text, limit, overlap), len(text)]
+        assert edges[1] <= limit and all(0 < b - a <= limit - overlap for a, b in zip(edges[1:], edges[2:]))
+    assert time.perf_counter() - began < 15
+
+
+def test_split_looks_further_for_a_line():
+    """No line end near the target: the only one that a piece can reach is taken."""
+    text = "a" * 1000 + "\n" + "b" * 5000
+    assert splitting.cuts(text, 3100, 0)[0] == 1001
+
+
 def test_split_boundaries():
     text = CODE * 40
     got = splitting.split(text, 600, 50)
@@ -78,7 +101,8 @@ def test_documentation(code, want):
     assert docpairs.documentation(code)[0].strip() == want
 
 
-@pytest.mark.parametrize("code, want", [("class A(B, m.C, metaclass=M):\n x", ["B", "C"]), ("public class A<T> extends B<T> implements C, D {", ["B", "C", "D"]), ("class A : public n::B, private C {", ["B", "C"]), ("class A:\n  pass", []), ("class A(object):", []), (None, [])])
+@pytest.mark.parametrize("code, want", [("class A(B, m.C, metaclass=M):\n x", ["B", "C"]), ("public class A<T> extends B<T> implements C, D {", ["B", "C", "D"]), ("class A : public n::B, private C {", ["B", "C"]), ("class A:\n  pass", []), ("class A(object):", []), (None, []),
+    ("class A(Generic[T, U[V]], Base):", ["Generic", "Base"]), ("class A<T extends Map<K, List<V>>> extends B<T> {", ["B"]), ("type A struct {\n\tBase\n\t*pkg.Other // x\n\tName string\n}", ["Base", "Other"]), ("impl<T: Clone> fmt::Display for A<T> {", ["Display"]), ("trait A: B + C {", ["B", "C"])])
 def test_bases(code, want):
     assert docpairs.bases(code) == want
 
@@ -138,6 +162,7 @@ def near_texts():
 @pytest.mark.parametrize("threshold, width, least, lists, heavy", [(0.7, 3, 40, 2000, None), (0.7, 3, 40, 2, None), (0.8, 5, 20, 2000, 1), (0.6, 2, 10, 3, 60), (0.9, 3, 10, 2000, 1 << 30), (1.0, 3, 10, 2000, None)])
 def test_near_duplicates(spark, monkeypatch, threshold, width, least, lists, heavy):
     monkeypatch.setattr(neardup, "LIST", lists)
+    monkeypatch.setattr("srclake.llm.common.HOT", lists)
     if heavy:
         monkeypatch.setattr(neardup, "heavy_from", lambda costs: heavy)
     texts = list(enumerate(near_texts(), 1))
@@ -156,6 +181,21 @@ def test_near_duplicates_empty(spark):
         neardup.near_duplicates(df, 0.5)
 
 
+def test_both_sides_by_cost(spark, monkeypatch):
+    """Small sets whose tokens are on long lists, large ones whose tokens are on short lists: the costs themselves part them."""
+    seen, real = [], neardup.heavy_from
+    monkeypatch.setattr(neardup, "heavy_from", lambda costs: seen.append((real(costs), [r["step"] for r in costs])) or seen[-1][0])
+    rnd = random.Random(8)
+    short = [" ".join(f"s{(k * 3 + j) % 40}" for j in range(11)) + f" u{k}" for k in range(200)]
+    long = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 9)) for _ in range(400)) for _ in range(20)]
+    texts = list(enumerate([*short, *long, *[x.replace("a1", "b2", 2) for x in long]], 1))
+    df = spark.createDataFrame([(k, "function", x) for k, x in texts], "chunk_seq bigint, kind string, code string")
+    membership, links = neardup.near_duplicates(df, 0.7, 3, 8)
+    assert rows(neardup.expand(membership, links)) == brute(texts, 0.7, 3, 8)
+    boundary, steps = seen[0]
+    assert 2 ** (min(steps) / 4) < boundary <= 2 ** (max(steps) / 4)
+
+
 def test_boundary_by_cost():
     row = lambda step, light, heavy: {"step": step, "light": light, "heavy": heavy}
     assert neardup.heavy_from([row(8, 1, 5), row(12, 9, 2), row(16, 99, 1)]) == 8
