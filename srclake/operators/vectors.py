@@ -34,7 +34,9 @@ def check_dimension(df: DataFrame, dim: int, vector: str = "embedding") -> DataF
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """VEC-3, VEC-4: query_id, id, score, rank of the k nearest of each query; ties go to the smaller id, null vectors are skipped."""
+    """VEC-3, VEC-4: query_id, id, score, rank of the k nearest of each query; ties go to the smaller id, null vectors are skipped.
+
+    A vector of another size than the queries' fails (VEC-2)."""
     import numpy as np
 
     asked = queries.select(id_, vector).where(F.col(vector).isNotNull()).orderBy(id_).toLocalIterator()
@@ -55,6 +57,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id",
         rows.clear()
 
     for r in asked:
+        if rows and len(r[1]) != len(rows[0]):
+            raise ValueError(f"a query does not have {len(rows[0])} numbers")
         ids.append(r[0])
         rows.append(r[1])
         if len(rows) * len(r[1]) >= BLOCK:
@@ -69,6 +73,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id",
 
 def _search_block(vectors: DataFrame, block, k: int, id_: str, vector: str, skip_self: bool) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(block)  # at most BLOCK numbers
+    vectors = check_dimension(vectors.where(F.col(vector).isNotNull()), block[1].shape[1], vector)
 
     def best(batches):
         import numpy as np
@@ -90,4 +95,4 @@ def _search_block(vectors: DataFrame, block, k: int, id_: str, vector: str, skip
             keep = np.isfinite(picked)
             yield pa.RecordBatch.from_arrays([pa.array(out_q[keep]), pa.array(own[order].ravel()[keep]), pa.array(picked[keep])], names=["query_id", id_, "score"])
 
-    return vectors.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(best, f"query_id bigint, {id_} bigint, score double")
+    return vectors.select(id_, vector).mapInArrow(best, f"query_id bigint, {id_} bigint, score double")

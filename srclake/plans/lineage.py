@@ -1,16 +1,32 @@
-"""Cutting lineage so that a lost executor costs nothing."""
+"""Cutting lineage so that a lost executor costs nothing, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a folder of this machine, which only a local session can share."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(os.environ.get("TMPDIR", "/tmp"), "srclake-checkpoints")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's spark.checkpoint.dir (all executors share it); a local folder only where it is unset."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(os.environ.get("TMPDIR", "/tmp"), "srclake-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import DataFrame
@@ -18,9 +19,11 @@ def git_lines(repo: str, *args: str, timeout: int = 60) -> list[str]:
 
 
 def clone(url: str, target: str, depth: int = 50) -> bool:
-    """SRC-8: driver-side clone of limited depth."""
+    """SRC-8: driver-side clone of limited depth, or a pull where the target is a clone already."""
+    there = os.path.isdir(os.path.join(target, ".git"))
+    command = ["git", "-C", target, "pull", "--ff-only"] if there else ["git", "clone", "--depth", str(depth), url, target]
     try:
-        return subprocess.run(["git", "clone", "--depth", str(depth), url, target], capture_output=True, timeout=600).returncode == 0
+        return subprocess.run(command, capture_output=True, timeout=600).returncode == 0
     except (OSError, subprocess.TimeoutExpired):
         return False
 

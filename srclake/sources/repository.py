@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srclake.functions.languages import CORE, detect
@@ -35,33 +36,43 @@ def _empty_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "path string, content binary")
 
 
-def scan(spark: SparkSession, root: str, repo_id: str | None = None, empty_files: bool = True) -> DataFrame:
-    """SRC-1: repo_id, path, rel_path, language, content of the known files under root.
+def _text(content: Column, bad_bytes: str) -> Column:
+    """UTF-8 text of bytes; what is not UTF-8 is dropped or replaced by U+FFFD. In files that are valid nothing is touched."""
+    text = content.cast("string")
+    mended = F.make_valid_utf8(text)
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(mended, F.lit("\ufffd"), F.lit("")) if bad_bytes == "drop" else mended)
+
+
+def scan(spark: SparkSession, root: str, repo_id: str | None = None, empty_files: bool = True, bad_bytes: str = "drop") -> DataFrame:
+    """SRC-1: repo_id, path, rel_path, language, content of the known files under root, on any file system.
 
     Extensions prune the listing, ignored directories the paths, both before any content is read. Bytes that are not
-    UTF-8 are dropped. ``empty_files`` costs a second listing.
+    UTF-8 are dropped, or with ``bad_bytes="replace"`` become U+FFFD. ``empty_files`` costs a second listing.
     """
-    root = os.path.abspath(root)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root if "://" in root else os.path.abspath(root))
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     glob = "*.{" + ",".join(e[1:] for e in CORE) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     raw = raw.select("path", "content")
     if empty_files:
         raw = raw.unionByName(_empty_files(spark, root).where(detect("path") != "unknown"))
     path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    rel = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
+    rel = F.substring(path, F.lit(len(re.sub(r"^file:/+", "/", root).rstrip("/")) + 2), F.length(path))
     files = not_ignored(raw.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), rel.alias("rel_path"), "content"))
-    # What is not UTF-8 becomes U+FFFD and goes; in files that are valid nothing is touched.
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(
-        F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    )
-    return files.select("repo_id", "path", "rel_path", detect("rel_path").alias("language"), text.alias("content"))
+    return files.select("repo_id", "path", "rel_path", detect("rel_path").alias("language"), _text(F.col("content"), bad_bytes).alias("content"))
 
 
 def read_file(files: DataFrame, rel_path: str) -> DataFrame:
-    """SRC-6: the row of one file."""
+    """The row of one stored file."""
     return files.where(F.col("rel_path") == rel_path)
 
 
+def read_path(spark: SparkSession, root: str, rel_path: str) -> DataFrame:
+    """SRC-6: rel_path, content of one file as it lies on disk, bad bytes replaced."""
+    raw = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{rel_path}")
+    return raw.select(F.lit(rel_path).alias("rel_path"), _text(F.col("content"), "replace").alias("content"))
+
+
 def latest(files: DataFrame) -> DataFrame:
     """Of files that were ingested again, the last row of each (repo_id, rel_path); ties go to the greatest file_id."""
     newest = files.groupBy("repo_id", "rel_path").agg(F.max_by("file_id", F.struct("ingested_at", "file_id")).alias("file_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import urllib.parse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +10,13 @@ from pyspark.sql import functions as F
 
 def store_path(folder: str, collection: str) -> str:
     """SNK-2: a collection's folder; names are escaped, so that a name with a slash cannot leave it."""
-    return os.path.join(folder, urllib.parse.quote(collection, safe=""))
+    return f"{folder.rstrip('/')}/{urllib.parse.quote(collection, safe='')}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """On whatever file system the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def save(df: DataFrame, folder: str, collection: str, by: str | None = "repo_id") -> None:
@@ -23,7 +28,7 @@ def save(df: DataFrame, folder: str, collection: str, by: str | None = "repo_id"
 def load(spark: SparkSession, folder: str, collection: str) -> DataFrame | None:
     """SRC-12, SRC-13: a collection, or None where it is missing."""
     path = store_path(folder, collection)
-    return spark.read.parquet(path) if os.path.exists(path) else None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def insert(df: DataFrame, folder: str, collection: str) -> None:
@@ -64,9 +69,15 @@ def find_first(df: DataFrame, seq: str, **equal) -> DataFrame:
     return find(df, **equal).orderBy(seq).limit(1)
 
 
+def newest(df: DataFrame, by: list[str], time: str = "created_at", tie: str | None = None) -> DataFrame:
+    """COL-3, PAT-15, BUG-9, RET-15: rows with their place in each group, newest first; a missing time counts as 0."""
+    order = [F.coalesce(F.col(time), F.lit(0.0)).desc(), *[F.col(tie)] * bool(tie)]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def history(df: DataFrame, repo_id: str, time: str = "created_at") -> DataFrame:
     """COL-3, PAT-15: a repository's rows, newest first; a missing time counts as 0."""
-    return find(df, repo_id=repo_id).orderBy(F.coalesce(F.col(time), F.lit(0.0)).desc())
+    return newest(find(df, repo_id=repo_id), ["repo_id"], time).orderBy("place").drop("place")
 
 
 def counts(df: DataFrame, key: str = "repo_id", name: str = "n") -> DataFrame:

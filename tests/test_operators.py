@@ -284,12 +284,17 @@ def test_patch_score(spark):
 
 
 @pytest.mark.parametrize("error, want", [
-    ("KeyError", "d.get('k', None)  # KeyError guard"), ("AttributeError", "    if a is not None:\n        y = a.b"), ("IndexError", "    if len(data) > 0:\n        return z[0]"),
-    ("TypeError", "    if data is not None:"), ("Odd", "# Defensive guard, added automatically"),
+    ("KeyError", "    v = d.get('k', None)  # KeyError guard"), ("AttributeError", "    if a is not None:\n        y = a.b"), ("IndexError", "    if len(z) > 0:\n        return z[0]"),
+    ("TypeError", "    if d is not None:\n        v = d['k']"), ("Odd", "    # Defensive guard, added automatically\n    pass  # TODO: verify fix manually\n    v = "),
 ])
 def test_heuristic_fix(error, want):
-    code = "def f(d):\n    v = d['k']\n    y = a.b\n    return z[0]"
+    """The edit parses, also in an indented method, and guards only names that exist."""
+    code = "def f(d):\n    \"\"\"Says d['x'].\"\"\"\n    v = d['k']\n    y = a.b\n    return z[0]"
+    for text in (code, "\n".join("    " + x for x in code.split("\n"))):
+        fixed = fix_of(text, error)
+        assert all(x.strip() in fixed for x in want.split("\n")) and syntax_error("class A:\n" + "\n".join(" " + x for x in fixed.split("\n"))) is None
     assert want in fix_of(code, error) and fix_of(None, error) == ""
+    assert "Defensive guard" in fix_of("x = (\n", error)
 
 
 def test_diff_and_syntax():
