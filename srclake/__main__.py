@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
 from srclake.plans.engine import Engine
+from srclake.plans.lineage import scratch
 from srclake.shipping import ship
 
 
@@ -15,9 +15,9 @@ def main(args: list[str]) -> int:
     if len(args) != 1:
         print(__doc__)
         return 2
-    spark = SparkSession.builder.appName("srclake").getOrCreate()
+    spark = SparkSession.builder.appName("srclake").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     ship(spark)
-    engine = Engine(spark, tempfile.mkdtemp(prefix="srclake-store-"))
+    engine = Engine(spark, scratch(spark, "store"))
     print(engine.ingest("repo", args[0]))
     for line in sys.stdin:
         line = line.strip()

@@ -2,7 +2,7 @@
 
 Weights are ln((1 + N) / (1 + df)) + 1 times the raw count, L2-normalised per text; the vocabulary of a repository is
 its VOCABULARY most frequent terms (ties by term). Everything is a long table (id, term, weight), so nothing is
-dense and nothing but keys is shuffled. Reduction of dimensions is left out: scores are plain cosines.
+dense and nothing but keys is shuffled. Reduction of dimensions (``reduce``) is an option; by default scores are plain cosines.
 """
 
 from __future__ import annotations
@@ -25,13 +25,28 @@ def term_counts(texts: DataFrame, by: list[str], id_: str, text: str = "text") -
     return texts.select(*by, id_, F.explode(words(text)).alias("term")).groupBy(*by, id_, "term").agg(F.count("*").alias("tf"))
 
 
+#: Parts in which terms of equal count are ranked before the last of them are.
+PARTS = 64
+
+
 def vocabulary(counts: DataFrame, by: list[str], size: int = VOCABULARY) -> DataFrame:
-    """EMB-1: by, term, df, cf of the most frequent terms."""
+    """EMB-1: by, term, df, cf of the most frequent terms.
+
+    How often each count occurs tells at which count the vocabulary ends, so only terms of that one count are ranked, and
+    these in PARTS first: no task sorts a repository's terms.
+    """
     stats = counts.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     if not by:
         return stats.orderBy(F.desc("cf"), "term").limit(size)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cf"), "term"))
-    return stats.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    steps = stats.groupBy(*by, "cf").agg(F.count("*").alias("equal"))
+    above = F.sum("equal").over(Window.partitionBy(*by).orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1))
+    room = steps.withColumn("room", size - F.coalesce(above, F.lit(0))).where("room > 0")
+    kept = stats.join(room, [*by, "cf"])
+    columns = [*by, "term", "df", "cf"]
+    tied = kept.where("equal > room").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)))
+    for group in ([*by, "part"], by):
+        tied = tied.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("term"))).where("rank <= room")
+    return kept.where("equal <= room").select(columns).unionByName(tied.select(columns))
 
 
 def fit(texts: DataFrame, by: list[str], id_: str, text: str = "text", size: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +75,15 @@ def transform(counts: DataFrame, model: DataFrame, by: list[str], id_: str) -> D
     return raw.join(norms(counts, model, by, id_), [*by, id_]).select(*by, id_, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def backend(name: str, client: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 768) -> Callable[[DataFrame, str, str], DataFrame]:
+    """EMB-6: how texts become rows to search, by name: "tfidf" (term counts) or "remote" (vectors of an injected model)."""
+    if name == "tfidf":
+        return lambda texts, id_, text: term_counts(texts, [], id_, text)
+    if name == "remote" and client is not None:
+        return lambda texts, id_, text: embed_with(texts, id_, text, client, dim)
+    raise ValueError(f"unknown backend {name}" if client else f"{name} needs a client")
+
+
 def embed_with(texts: DataFrame, id_: str, text: str, client: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:
     """EMB-5, EMB-8: vectors from an injected model, in batches; a batch that fails is tried text by text, and a text that fails
     becomes zeros."""

@@ -84,6 +84,16 @@ def validate(patches: DataFrame, git_check: Column | None = None) -> DataFrame:
     return checked.withColumn("has_changes", has_changes(F.col("original_code"), F.col("suggested_patch")))
 
 
+def prompt(report: Column, error_type: Column, target: Column, context: Column, snippet: Column) -> Column:
+    """PAT-5: what a model is asked: the report and its type, the file, retrieved code, and the code to mend."""
+    parts = [
+        F.lit("Mend the code below so that the reported error no longer occurs. Reply with one fenced block of code and a short reason."),
+        F.concat(F.lit("Error type: "), error_type), F.concat(F.lit("Report:\n"), report), F.concat(F.lit("File: "), target),
+        F.when(context != "", F.concat(F.lit("Related code:\n\n"), context)), F.concat(F.lit("Code to mend:\n```\n"), snippet, F.lit("\n```")),
+    ]
+    return F.concat_ws("\n\n", *parts)
+
+
 def set_status(patches: DataFrame, patch_id: str, status: str, edit: str | None = None) -> DataFrame:
     """PAT-13: the patch's row with its new status, and with a new diff where it was edited by hand."""
     row = patches.where(F.col("patch_id") == patch_id).withColumn("status", F.lit(status))

@@ -16,6 +16,7 @@ RULES = [
 ]
 #: The same without the word boundary that cannot follow a bracket, quote or colon.
 FIXED = {"security": RULES[0][3].removesuffix(r"\b"), "performance": r"\btime\.sleep\b|\bwhile\s+True:"}
+# What callers read, suggestions and messages of commits by what a diff contains.
 SUGGESTIONS = [
     "Consider extracting nested logic into decoupled helper functions.",
     "Ensure input validation and parameter checks are enforced on public methods.",

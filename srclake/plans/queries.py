@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from srclake.functions import text as T
 from srclake.functions.languages import CORE, EXTENDED, detect, detect_for_patch
 from srclake.operators import analytics, bugs, chunking, docs, embedding, graph_build, graph_query, incremental, patches, retrieval, review, traces, vectors
-from srclake.sources import repository, stores
+from srclake.plans.lineage import scratch
+from srclake.sources import history, repository, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,10 +68,10 @@ def tfidf_sql() -> str:
     w AS (SELECT repo_id, chunk_seq, term, x / sqrt(sum(x * x) OVER (PARTITION BY repo_id, chunk_seq)) AS weight FROM raw)"""
 
 
-def search_sql(k: int) -> str:
+def search_sql(k: int, report: str = "error_report") -> str:
     """CTE hits (repo_id, report_id, chunk_seq, score, rank) after tfidf_sql."""
     return f"""
-    q AS (SELECT repo_id, report_id, term, count(*) AS tf FROM (SELECT repo_id, report_id, unnest({WORDS.format(c="error_report")}) AS term FROM bug_reports WHERE report_id % {EVERY} = 0) GROUP BY ALL),
+    q AS (SELECT repo_id, report_id, term, count(*) AS tf FROM (SELECT repo_id, report_id, unnest({WORDS.format(c=report)}) AS term FROM bug_reports WHERE report_id % {EVERY} = 0) GROUP BY ALL),
     qraw AS (SELECT repo_id, report_id, term, tf * idf AS x FROM q JOIN model USING (repo_id, term)),
     qw AS (SELECT repo_id, report_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY repo_id, report_id)) AS qweight FROM qraw),
     scored AS (SELECT repo_id, report_id, chunk_seq, sum(qweight * weight) AS score FROM qw JOIN w USING (repo_id, term) GROUP BY ALL),
@@ -94,9 +95,15 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    model, counts = embedding.fit(texts(spark, folder), ["repo_id"], "chunk_seq")
+    return _hits(spark, folder, asked(spark, folder), k)
+
+
+def _hits(spark: SparkSession, folder: str, reports: DataFrame, k: int) -> DataFrame:
+    """Models are by repository, so only the repositories that are asked are fitted."""
+    there = texts(spark, folder).join(F.broadcast(reports.select("repo_id").distinct()), "repo_id", "left_semi")
+    model, counts = embedding.fit(there, ["repo_id"], "chunk_seq")
     lengths = embedding.norms(counts, model, ["repo_id"], "chunk_seq")
-    return retrieval.text_search(counts, model, asked(spark, folder), ["repo_id"], "chunk_seq", "report_id", "error_report", k, lengths)
+    return retrieval.text_search(counts, model, reports, ["repo_id"], "chunk_seq", "report_id", "error_report", k, lengths)
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,11 +243,32 @@ def import_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("size(a) > 0").select("file_id", F.array_join("a", "\n").alias("imports"), F.size("a").alias("n"))
 
 
-@query()
+@query("""
+SELECT DISTINCT repo_id, file_path, lower(trim(kind)) AS kind, name, start_line, end_line, md5(code) AS code_hash FROM chunks WHERE ends_with(file_path, '.py') AND lower(trim(kind)) <> 'block'
+""")
 def ast_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """CHK-1..4, CHK-10: Python's own parser; no SQL can parse."""
+    """CHK-1..4: functions, classes and methods of every Python file, once each; the supplied chunks hold the same."""
     files = t(spark, folder, "source_files").select("repo_id", "rel_path", detect("rel_path").alias("language"), "content").where("content IS NOT NULL")
-    return chunking.chunk(files).select("repo_id", "file_path", "language", "chunk_id", "kind", "name", "start_line", "end_line", F.md5("code").alias("code_hash"), "docstring")
+    made = chunking.chunk(files).where("language = 'python' AND kind <> 'block'")
+    return made.select("repo_id", "file_path", "kind", "name", "start_line", "end_line", F.md5("code").alias("code_hash")).distinct()
+
+
+_NO_SYMBOL = "file_id NOT IN (SELECT file_id FROM e)"
+
+
+@query(_symbols_sql(chunking.FUNCTION_LINE, chunking.CLASS_LINE).replace("SELECT file_id, kind, name, k::INT", f"""
+, p AS (SELECT DISTINCT repo_id, file_path FROM chunks WHERE ends_with(file_path, '.py') AND lower(trim(kind)) <> 'block')
+SELECT DISTINCT f.repo_id, rel_path AS file_path, 'block' AS kind, rel_path AS name, 1 AS start_line, len({sql_lines("content")})::INT AS end_line, md5(content) AS code_hash
+FROM source_files f LEFT JOIN p ON p.repo_id = f.repo_id AND p.file_path = f.rel_path
+WHERE content IS NOT NULL AND CASE WHEN {sql_language("rel_path", CORE)} = 'python' THEN p.repo_id IS NULL ELSE {_NO_SYMBOL} END
+UNION ALL SELECT DISTINCT repo_id, rel_path, kind, name, k::INT""").replace("AS code_hash FROM e\n", f"AS code_hash FROM e JOIN source_files USING (file_id) WHERE {sql_language('rel_path', CORE)} <> 'python'\n"))
+def chunk_dispatch(spark: SparkSession, folder: str) -> DataFrame:
+    """CHK-5, CHK-9, CHK-10: by symbols, or whole where a file has none; Python files whole where they do not parse or define nothing."""
+    files = t(spark, folder, "source_files").select("repo_id", "rel_path", detect("rel_path").alias("language"), "content", "file_id").where("content IS NOT NULL")
+    # Every row of a file is a file of its own here, as a file may have been ingested again.
+    made = chunking.chunk(files.withColumn("repo_id", F.concat_ws("\x00", "repo_id", "file_id")), "symbols")
+    kept = made.where("language <> 'python' OR kind = 'block'").withColumn("repo_id", F.substring_index("repo_id", "\x00", 1))
+    return kept.select("repo_id", "file_path", "kind", "name", "start_line", "end_line", F.md5("code").alias("code_hash")).distinct()
 
 
 @query(f"SELECT chunk_seq, md5({EMBED_SQL}) AS text_hash FROM chunks")
@@ -272,6 +300,27 @@ def tfidf_search(spark: SparkSession, folder: str) -> DataFrame:
     return report_hits(spark, folder, 5).select("report_id", "chunk_seq", F.round("score", 6).alias("score"), "rank")
 
 
+_PREFIXED = f"concat('{retrieval.REPORT_PREFIX.replace(chr(10), "' || chr(10) || '")}', error_report)"
+
+
+@query(f"WITH {tfidf_sql()}, {search_sql(5, _PREFIXED)} SELECT report_id, chunk_seq, round(score, 6) AS score, rank FROM hits")
+def report_search(spark: SparkSession, folder: str) -> DataFrame:
+    """RET-3: every fiftieth report as a question, with the words that stand before it."""
+    reports = asked(spark, folder).withColumn("error_report", retrieval.report_query("error_report"))
+    return _hits(spark, folder, reports, 5).select("report_id", "chunk_seq", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {tfidf_sql()}, {search_sql(8)},
+    r AS (SELECT report_id, top_candidate.file_path AS target FROM bug_reports),
+    p AS (SELECT h.report_id, chunk_seq, row_number() OVER (PARTITION BY h.report_id ORDER BY coalesce(file_path = target, false) DESC, rank) AS place FROM hits h JOIN r USING (report_id) JOIN chunks USING (chunk_seq))
+SELECT report_id, chunk_seq, place FROM p WHERE place <= 4""")
+def same_file_first(spark: SparkSession, folder: str) -> DataFrame:
+    """RET-16, with the file of each report's stored candidate as the target."""
+    hits = report_hits(spark, folder, 8).join(t(spark, folder, "chunks").select("chunk_seq", "file_path"), "chunk_seq")
+    target = t(spark, folder, "bug_reports").select("report_id", F.col("top_candidate.file_path").alias("target"))
+    return retrieval.same_file_first(hits.join(target, "report_id"), ["report_id"], F.col("target"), 4).select("report_id", "chunk_seq", "place")
+
+
 def _intent_sql(c: str) -> str:
     cases = " ".join(f"WHEN {' OR '.join(f'''contains(lower({c}), '{k}')''' for k in words)} THEN '{name}'" for name, words in retrieval.INTENTS.items())
     return f"CASE {cases} WHEN regexp_matches(lower({c}), 'explain\\s+\\w+') THEN 'function_explain' ELSE 'general' END"
@@ -321,15 +370,36 @@ def answer_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {tfidf_sql()}, {search_sql(5)}
-SELECT report_id, count(*) AS blocks, md5(string_agg('### ' || file_path || ' :: ' || name || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || '```' || coalesce(language, 'None') || chr(10) || code || chr(10) || '```', chr(10) || chr(10) ORDER BY rank)) AS context_hash
+SELECT report_id, count(*) AS blocks, md5(string_agg('### ' || file_path || ' :: ' || name || ' (lines ' || start_line || '-' || end_line || ', relevance=' || printf('%.2f', score) || ')' || chr(10) || '```' || coalesce(language, 'None') || chr(10) || code || chr(10) || '```', chr(10) || chr(10) ORDER BY rank)) AS context_hash
 FROM hits JOIN chunks USING (chunk_seq) GROUP BY report_id""")
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """RET-2; compared without the relevance, whose last digit may differ."""
+    """RET-2."""
     hits = report_hits(spark, folder, 5).join(t(spark, folder, "chunks").drop("repo_id"), "chunk_seq")
     shown = retrieval.contexts(hits, ["report_id"])
-    plain = F.regexp_replace("context", r"(?m)^(### .* :: .* \(lines \d+-\d+), relevance=-?\d+\.\d\d\)$", "$1)")
     n = F.size(F.regexp_extract_all("context", F.lit(r"(?m)^### .* :: .* \(lines \d+-\d+, relevance"), F.lit(0)))
-    return shown.select("report_id", n.cast("bigint").alias("blocks"), F.md5(plain).alias("context_hash"))
+    return shown.select("report_id", n.cast("bigint").alias("blocks"), F.md5("context").alias("context_hash"))
+
+
+_HINT_SQL = f"CASE {_intent_sql('error_report')} {' '.join(f"WHEN '{n}' THEN '{h.replace(chr(39), chr(39) * 2)}'" for n, h in retrieval.HINTS.items())} ELSE '' END"
+
+
+@query(f"""
+WITH e AS (SELECT repo_id, src, dst, relationship, edge_seq FROM graph_edges),
+r AS (SELECT report_id, repo_id, error_report, top_candidate.file_path AS file FROM bug_reports WHERE error_report IS NOT NULL),
+d AS (SELECT report_id, list('  - ' || src || ' --[' || relationship || ']--> ' || dst ORDER BY edge_seq) AS ds FROM r JOIN e ON e.repo_id = r.repo_id AND e.src = r.file GROUP BY report_id)
+SELECT report_id, md5('Code of the repository:' || chr(10) || chr(10) || substring(error_report || error_report, 1, 6000) || chr(10)
+  || CASE WHEN ds IS NULL THEN '' ELSE chr(10) || 'What depends on what:' || chr(10) || array_to_string(ds[1:10], chr(10)) || chr(10) END
+  || chr(10) || 'Question: ' || error_report || chr(10) || {_HINT_SQL} || chr(10) || 'Name the files and lines that your answer rests on:') AS prompt_hash
+FROM r LEFT JOIN d USING (report_id)
+""")
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """RET-13: of every report, with the report twice as its context and the edges from its stored candidate's file."""
+    r = t(spark, folder, "bug_reports").where("error_report IS NOT NULL").select("report_id", "repo_id", "error_report", F.col("top_candidate.file_path").alias("src"))
+    e = edges(spark, folder).join(r.select("repo_id", "src").distinct(), ["repo_id", "src"], "left_semi")
+    d = F.sort_array(F.collect_list(F.struct("seq", "src", "dst", "relationship")))
+    known = r.join(e.groupBy("repo_id", "src").agg(d.alias("deps")), ["repo_id", "src"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<struct<seq:bigint,src:string,dst:string,relationship:string>>")))
+    text = retrieval.prompt(F.concat("error_report", "error_report"), F.col("deps"), F.col("error_report"), retrieval.intent("error_report"))
+    return known.select("report_id", F.md5(text).alias("prompt_hash"))
 
 
 # ---- traces and bugs -----------------------------------------------------------------------------------------------
@@ -367,15 +437,15 @@ def trace_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MATCH_SQL = f"""{_frames_sql()},
-    kx AS (SELECT repo_id, report_id, fr, pos, unnest([fr.p, regexp_extract(fr.p, '[^/\\\\]*$')]) AS key, unnest([0, 1]) AS k FROM fx WHERE report_id % {EVERY} = 0),
+    kx AS (SELECT repo_id, report_id, fr, pos, unnest([fr.p, regexp_extract(fr.p, '[^/\\\\]*$')]) AS key, unnest([0, 1]) AS k FROM fx),
     keys AS (SELECT repo_id, report_id, key, min(pos * 2 + k) AS key_pos, arg_max(fr, pos * 2 + k) AS fr FROM kx GROUP BY ALL),
     fl AS (SELECT DISTINCT repo_id, rel_path AS file_path FROM source_files),
     fm AS (SELECT report_id, file_path, arg_min(fr, key_pos) AS fr FROM fl JOIN keys USING (repo_id)
       WHERE ends_with(file_path, key) OR ends_with(key, file_path) OR regexp_extract(file_path, '[^/\\\\]*$') = regexp_extract(key, '[^/\\\\]*$') GROUP BY ALL)"""
 
 
-def _frame_matches(spark: SparkSession, folder: str) -> DataFrame:
-    reports = asked(spark, folder).select("repo_id", "report_id", traces.frames("error_report").alias("frames"))
+def _frame_matches(spark: SparkSession, folder: str, reports: DataFrame | None = None) -> DataFrame:
+    reports = (asked(spark, folder) if reports is None else reports).select("repo_id", "report_id", traces.frames("error_report").alias("frames"))
     keys = bugs.frame_keys(reports, "report_id")
     files = t(spark, folder, "source_files").select("repo_id", F.col("rel_path").alias("file_path")).distinct()
     return bugs.match_frames(reports.select("repo_id", "report_id").join(files, "repo_id").select("report_id", "file_path"), keys, "report_id")
@@ -383,8 +453,8 @@ def _frame_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_MATCH_SQL} SELECT report_id, file_path, fr.p AS frame_path, fr.l AS line_number, fr.f AS function FROM fm")
 def frame_match(spark: SparkSession, folder: str) -> DataFrame:
-    """BUG-2, BUG-3: files that every fiftieth report's frames point at."""
-    return _frame_matches(spark, folder).select("report_id", "file_path", F.col("frame.file_path").alias("frame_path"), F.col("frame.line_number").alias("line_number"), F.col("frame.function").alias("function"))
+    """BUG-2, BUG-3: files that the reports' frames point at."""
+    return _frame_matches(spark, folder, t(spark, folder, "bug_reports")).select("report_id", "file_path", F.col("frame.file_path").alias("frame_path"), F.col("frame.line_number").alias("line_number"), F.col("frame.function").alias("function"))
 
 
 @query(f"""WITH {tfidf_sql()}, {search_sql(15)}, {_MATCH_SQL},
@@ -409,9 +479,32 @@ def bug_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("report_id", "file_path", F.col("frame").isNotNull().alias("matched"), F.coalesce("in_degree", F.lit(0)).cast("bigint").alias("in_degree"), "confidence", "place")
 
 
-@query()
+_ERROR_SQL = f"""CASE WHEN regexp_extract(r, '{_q(traces.ERROR)}', 1) <> '' THEN regexp_extract(r, '{_q(traces.ERROR)}', 1) ELSE 'UnknownError' END AS etype,
+  CASE WHEN regexp_extract(r, '{_q(traces.ERROR)}', 1) <> '' THEN trim(regexp_extract(r, '{_q(traces.ERROR)}', 2)) ELSE coalesce(({sql_lines("regexp_replace(r, '^\\s+|\\s+$', '', 'g')")})[1], '') END AS emsg"""
+
+
+@query(f"""WITH {tfidf_sql()}, {search_sql(15)}, {_MATCH_SQL},
+    d AS (SELECT DISTINCT repo_id, src, dst FROM graph_edges), kn AS (SELECT DISTINCT repo_id, rel_path AS f0 FROM source_files),
+    up AS (SELECT d.repo_id, dst AS file_path, list(src ORDER BY src)[1:5] AS callers FROM d JOIN kn ON kn.repo_id = d.repo_id AND f0 = src GROUP BY ALL),
+    dn AS (SELECT d.repo_id, src AS file_path, list(dst ORDER BY dst)[1:5] AS callees FROM d JOIN kn ON kn.repo_id = d.repo_id AND f0 = dst GROUP BY ALL),
+    deg AS (SELECT repo_id, dst AS file_path, count(*) AS in_degree FROM d GROUP BY ALL),
+    rt AS (SELECT h.repo_id, h.report_id, h.rank, h.score, c.file_path, c.name, c.start_line, c.end_line, fr, callers, callees,
+      round_even(greatest(0.1, least(0.99, CASE WHEN fr IS NOT NULL THEN least(1.0, score + 0.35 + 0.15) ELSE score END + least(0.15, 0.03 * coalesce(in_degree, 0)))), 3) AS confidence
+      FROM hits h JOIN chunks c USING (chunk_seq) LEFT JOIN fm ON fm.report_id = h.report_id AND fm.file_path = c.file_path LEFT JOIN deg ON deg.repo_id = h.repo_id AND deg.file_path = c.file_path
+      LEFT JOIN up ON up.repo_id = h.repo_id AND up.file_path = c.file_path LEFT JOIN dn ON dn.repo_id = h.repo_id AND dn.file_path = c.file_path),
+    bt AS (SELECT *, min(rank) OVER (PARTITION BY report_id, file_path) AS seen FROM rt QUALIFY row_number() OVER (PARTITION BY report_id, file_path ORDER BY confidence DESC, rank) = 1),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY confidence DESC, seen) AS place FROM bt QUALIFY place <= 5),
+    rp AS (SELECT report_id, {_ERROR_SQL} FROM (SELECT report_id, coalesce(error_report, '') AS r FROM bug_reports WHERE report_id % {EVERY} = 0)),
+    ex AS (SELECT rp.report_id, etype, place, file_path, name, start_line, confidence, callers, f.frames[1] AS f1, concat_ws(' ', CASE WHEN fr IS NOT NULL THEN 'Stack trace points to ' || fr.p || ':' || fr.l || ' in ''' || fr.f || '''.' END,
+      'Semantic match (similarity=' || printf('%.2f', score) || ') for ' || etype, CASE WHEN emsg <> '' THEN 'message: ''' || substring(emsg, 1, 80) || '''' END, 'Code block ''' || name || ''' spans lines ' || start_line || '-' || end_line || '.',
+      CASE WHEN len(callers) > 0 THEN 'Imported/called by: ' || array_to_string(callers[1:3], ', ') || '.' END, CASE WHEN len(callees) > 0 THEN 'Depends on: ' || array_to_string(callees[1:3], ', ') || '.' END) AS explanation
+      FROM rp LEFT JOIN pl USING (report_id) LEFT JOIN f ON f.report_id = rp.report_id)
+SELECT report_id, place, file_path, confidence, CASE WHEN file_path IS NOT NULL THEN explanation ELSE concat_ws(' ', CASE WHEN emsg <> '' THEN 'message: ''' || substring(emsg, 1, 80) || '''' END) END AS explanation,
+  CASE WHEN file_path IS NULL THEN 'No strong code matches found for ' || etype || '. Try re-indexing the repository or providing a fuller stack trace.'
+  WHEN place = 1 THEN concat_ws(' ', 'Most likely root cause: ' || file_path || ' in function ''' || name || ''' around line ' || start_line || ' (confidence ' || printf('%.0f', round_even(confidence * 100, 0)) || '%).',
+    CASE WHEN f1 IS NOT NULL THEN 'The stack trace originates at ' || f1.p || ':' || f1.l || '.' END, CASE WHEN len(callers) > 0 THEN 'This file is referenced by ' || len(callers) || ' upstream module(s), suggesting a shared dependency or entry-point failure.' END, explanation) END AS root_cause FROM ex LEFT JOIN (SELECT report_id, emsg FROM rp) USING (report_id)""")
 def bug_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    """BUG-6, BUG-8: sentences with two-decimal similarities, on which engines differ in the last digit; tested by cases."""
+    """BUG-6, BUG-8: the sentences on every candidate, and on the first the likely cause."""
     reports = asked(spark, folder).select("report_id", traces.error_type("error_report").alias("etype"), traces.error_message("error_report").alias("emsg"), traces.frames("error_report").alias("frames"))
     hits = report_hits(spark, folder, 15).join(t(spark, folder, "chunks").select("chunk_seq", "file_path", "name", "start_line", "end_line"), "chunk_seq")
     found = bugs.candidates(hits, _frame_matches(spark, folder), bugs.graph_context(edges(spark, folder), t(spark, folder, "source_files")), "report_id")
@@ -424,13 +517,12 @@ def bug_explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT repo_id, src, dst, arg_max(relationship, edge_seq) AS relationship, (arg_max(internal, edge_seq) FILTER (WHERE internal IS NOT NULL))::VARCHAR AS internal
-FROM graph_edges GROUP BY ALL
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, src, dst ORDER BY edge_seq DESC) AS back FROM graph_edges)
+SELECT repo_id, src, dst, relationship, internal FROM l WHERE back = 1
 """)
 def graph_collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    """GRF-9, GRQ-6: one edge per pair of nodes, the last one written; a null internal leaves the one before."""
-    e = edges(spark, folder)
-    return e.groupBy("repo_id", "src", "dst").agg(F.max_by("relationship", "seq").alias("relationship"), F.max_by("internal", F.when(F.col("internal").isNotNull(), F.col("seq"))).cast("string").alias("internal"))
+    """GRF-9, GRQ-6: one edge per pair of nodes, the last one written."""
+    return graph_build.collapsed(edges(spark, folder))
 
 
 @query("""
@@ -490,16 +582,19 @@ def blast_radius(spark: SparkSession, folder: str) -> DataFrame:
     return graph_query.blast_radius(edges(spark, folder), starts).select("repo_id", "start", "id")
 
 
+#: Of any length. Only edges that lead back to where they come from can lie on a cycle, so paths are short of nothing else.
 _CYCLES_SQL = """
-    e AS (SELECT DISTINCT repo_id, src, dst FROM graph_edges WHERE relationship IN ('imports', 'external_import') AND src <> dst),
+    ie AS (SELECT DISTINCT repo_id, src, dst FROM graph_edges WHERE relationship IN ('imports', 'external_import') AND src <> dst),
+    reach AS (SELECT repo_id, src AS a, dst AS b FROM ie UNION SELECT r.repo_id, r.a, ie.dst FROM reach r JOIN ie ON ie.repo_id = r.repo_id AND ie.src = r.b),
+    e AS (SELECT ie.* FROM ie JOIN reach r ON r.repo_id = ie.repo_id AND r.a = ie.dst AND r.b = ie.src),
     p AS (SELECT repo_id, [src, dst] AS path FROM e WHERE src < dst
-      UNION ALL SELECT p.repo_id, list_append(path, e.dst) FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = path[-1] WHERE e.dst > path[1] AND NOT list_contains(path, e.dst) AND len(path) < 6),
+      UNION ALL SELECT p.repo_id, list_append(path, e.dst) FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = path[-1] WHERE e.dst > path[1] AND NOT list_contains(path, e.dst)),
     c AS (SELECT p.repo_id, path FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = path[-1] AND e.dst = path[1])"""
 
 
 @query(f"WITH RECURSIVE {_CYCLES_SQL} SELECT repo_id, array_to_string(path, ' > ') AS cycle, len(path)::INT AS length FROM c")
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """GRQ-2, of any length; the SQL stops at six nodes."""
+    """GRQ-2, of any length."""
     return graph_query.cycles(edges(spark, folder)).select("repo_id", F.array_join("cycle", " > ").alias("cycle"), "length")
 
 
@@ -509,9 +604,12 @@ def cycle_count(spark: SparkSession, folder: str) -> DataFrame:
     return graph_query.cycles(edges(spark, folder)).groupBy("repo_id").agg(F.count("*").alias("cycles"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, src, dst ORDER BY edge_seq DESC) AS back FROM graph_edges)
+SELECT repo_id, to_json({'data': {'id': src || '->' || dst, 'source': src, 'target': dst, 'relationship': coalesce(relationship, 'depends_on'), 'internal': coalesce(internal, true)}})::VARCHAR AS json FROM l WHERE back = 1
+""")
 def graph_export(spark: SparkSession, folder: str) -> DataFrame:
-    """SNK-8, GRQ-7; JSON text differs between engines, so it is tested by cases."""
+    """SNK-8, GRQ-7."""
     return graph_query.export_edges(graph_build.collapsed(edges(spark, folder)))
 
 
@@ -529,11 +627,46 @@ def architecture_summary(spark: SparkSession, folder: str) -> DataFrame:
     return graph_query.architecture(t(spark, folder, "source_files"), edges(spark, folder))
 
 
-@query()
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return t(spark, folder, "source_files").select("repo_id", "rel_path", detect("rel_path").alias("language"), "content")
+
+
+_LINE_SQL = f"""
+SELECT DISTINCT repo_id, rel_path AS src, dst, relationship FROM (SELECT repo_id, rel_path, unnest({sql_lines("content")}) AS line FROM source_files WHERE {sql_language("rel_path", CORE)} <> 'python' AND content IS NOT NULL),
+  (VALUES ('{graph_build.API_NODE}', 'api_call', '{graph_build.HTTP_LINE}'), ('{graph_build.DB_NODE}', 'database_call', '{graph_build.DB_LINE}')) v(dst, relationship, pattern)
+WHERE CASE relationship WHEN 'api_call' THEN regexp_matches(line, '{graph_build.HTTP_LINE}') ELSE regexp_matches(line, '{graph_build.DB_LINE}') END"""
+
+
+@query(f"""
+SELECT DISTINCT repo_id, src, dst, relationship FROM graph_edges WHERE regexp_matches(src, '\\.py(::|$)') AND relationship IN ('defines_class', 'defines_function', 'inherits', 'imports')
+UNION ALL {_LINE_SQL}
+""")
 def built_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """GRF-1, GRF-3..8, GRF-10: the graph built from the files themselves; needs Python's parser."""
-    files = repository.latest(t(spark, folder, "source_files")).select("repo_id", "rel_path", detect("rel_path").alias("language"), "content")
-    return graph_build.edges(files).select("repo_id", "src", "dst", "relationship", "internal")
+    """GRF-1, GRF-3..5, GRF-7, GRF-10: the graph built from the files themselves. What Python files define, inherit and import
+    is held against the supplied edges, calls in other files against SQL; other edges are in built_calls."""
+    built = graph_build.edges(_files(spark, folder))
+    python = F.col("src").rlike(r"\.py(::|$)")
+    kept = built.where(F.when(python, F.col("relationship").isin("defines_class", "defines_function", "inherits", "imports")).otherwise(True))
+    return kept.select("repo_id", "src", "dst", "relationship")
+
+
+@query()
+def built_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """GRF-6, GRF-8: calls and outside imports of Python files; needs Python's parser, and the supplied edges name other calls."""
+    built = graph_build.edges(_files(spark, folder)).where(F.col("src").rlike(r"\.py$"))
+    return built.where("relationship IN ('api_call', 'database_call', 'external_import')").select("repo_id", "src", "dst", "relationship", "internal")
+
+
+@query("""
+SELECT repo_id, rel_path AS id, 'file' AS type, false AS external FROM source_files GROUP BY repo_id, rel_path
+UNION ALL SELECT repo_id, dst, CASE WHEN bool_or(relationship = 'defines_class') THEN 'class' ELSE 'function' END, false FROM graph_edges WHERE regexp_matches(src, '\\.py$') AND relationship IN ('defines_class', 'defines_function') GROUP BY repo_id, dst
+UNION ALL SELECT repo_id, dst, 'class', true FROM graph_edges WHERE regexp_matches(src, '\\.py::') AND relationship = 'inherits' GROUP BY repo_id, dst
+""")
+def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """GRF-2: nodes of files, of what Python files define, and of bases outside."""
+    files = _files(spark, folder)
+    made = graph_build.nodes(files, graph_build.edges(files).where("relationship IN ('defines_class', 'defines_function', 'inherits')"))
+    return made.select("repo_id", "id", "type", "external")
 
 
 @query()
@@ -657,11 +790,28 @@ def doc_api(spark: SparkSession, folder: str) -> DataFrame:
     return docs.functions(t(spark, folder, "chunks"))
 
 
-@query()
+_DOC_SQL = """
+f AS (SELECT repo_id, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages, count(*) AS files FROM source_files GROUP BY repo_id), c AS (SELECT repo_id, count(*) AS chunks FROM chunks GROUP BY repo_id),
+p AS (SELECT repo_id, rel_path, row_number() OVER (PARTITION BY repo_id ORDER BY rel_path, file_id) AS place, count(*) OVER (PARTITION BY repo_id) AS n FROM source_files),
+tr AS (SELECT repo_id, string_agg('├── ' || rel_path || chr(10), '' ORDER BY place) AS tree, greatest(max(n) - 25, 0) AS more FROM p WHERE place <= 25 GROUP BY repo_id),
+kc AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_seq) AS place FROM chunks WHERE lower(trim(kind)) = 'class' QUALIFY place <= 10),
+cl AS (SELECT repo_id, string_agg('### Class `' || name || '` (`' || file_path || '`)' || chr(10) || CASE WHEN docstring <> '' THEN '> ' || docstring || chr(10) || chr(10) ELSE '' END || 'Lines: `' || start_line || '-' || end_line || '`' || chr(10) || chr(10), '' ORDER BY place) AS classes FROM kc GROUP BY repo_id),
+kf AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_seq) AS place FROM chunks WHERE lower(trim(kind)) IN ('function', 'method') QUALIFY place <= 30),
+ca AS (SELECT repo_id, string_agg('### `' || name || '`' || chr(10) || '- **File**: `' || file_path || '`' || chr(10) || '- **Lines**: `' || start_line || ' - ' || end_line || '`' || chr(10)
+  || CASE WHEN docstring <> '' THEN '- **Docstring**: ' || docstring || chr(10) ELSE '' END || '```' || coalesce(language, '') || chr(10) || substring(code, 1, 400) || CASE WHEN length(code) > 400 THEN chr(10) || '...' ELSE '' END || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY place) AS calls FROM kf GROUP BY repo_id),
+pg AS (SELECT repo_id, '# ' || repo_id || chr(10) || chr(10) || '## Overview' || chr(10) || '- **Primary languages**: ' || coalesce(languages, '') || chr(10) || '- **Source files**: ' || files || chr(10) || '- **Code components**: ' || coalesce(chunks, 0)
+  || chr(10) || chr(10) || '## Folder structure' || chr(10) || '```' || chr(10) || coalesce(tree, '') || CASE WHEN more > 0 THEN '└── ... (' || more || ' more files)' || chr(10) ELSE '' END || '```' || chr(10) || chr(10) || '## Core modules' || chr(10) || coalesce(classes, '') AS readme,
+  '# API & Method Documentation' || chr(10) || chr(10) || coalesce(calls, '') AS api FROM f LEFT JOIN c USING (repo_id) LEFT JOIN tr USING (repo_id) LEFT JOIN cl USING (repo_id) LEFT JOIN ca USING (repo_id)),
+hx AS (SELECT repo_id, readme, api, string_split(replace(replace(replace(readme || chr(10) || chr(10) || api, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '```') AS parts FROM pg)"""
+
+
+@query(f"""WITH {_DOC_SQL}
+SELECT repo_id, md5(readme) AS readme_hash, md5(api) AS api_hash, md5('<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>Documentation</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
+  || array_to_string(list_transform(parts, lambda p, k: CASE WHEN k % 2 = 0 THEN '<pre>' || p || '</pre>' ELSE replace(p, chr(10), '<br>') END), '') || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)) AS html_hash FROM hx""")
 def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """SNK-9, DOC-5, DOC-6: whole pages; their parts are compared above."""
+    """SNK-9, DOC-5, DOC-6: whole pages, by their hashes."""
     made = docs.markdown(t(spark, folder, "source_files"), t(spark, folder, "chunks"))
-    return made.select("repo_id", "readme", "api", docs.html(F.concat("readme", F.lit("\n\n"), "api")).alias("html"))
+    return made.select("repo_id", F.md5("readme").alias("readme_hash"), F.md5("api").alias("api_hash"), F.md5(docs.html(F.concat("readme", F.lit("\n\n"), "api"))).alias("html_hash"))
 
 
 # ---- incremental indexing and stored collections -------------------------------------------------------------------
@@ -675,20 +825,19 @@ def hash_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SYNC_SQL = """
-    r AS (SELECT repo_id, rel_path, md5(coalesce(content, '')) AS h, row_number() OVER (PARTITION BY repo_id, rel_path ORDER BY ingested_at DESC, file_id DESC) AS back, count(*) OVER (PARTITION BY repo_id, rel_path) AS n FROM source_files),
-    o AS (SELECT repo_id, rel_path, h AS old_hash FROM r WHERE back = n AND rel_path NOT LIKE 'tests/%'), w AS (SELECT repo_id, rel_path, h AS new_hash FROM r WHERE back = 1 AND rel_path NOT LIKE 'tools/%'),
+    m AS (SELECT make_timestamp((epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2) AS half FROM source_files),
+    r AS (SELECT repo_id, rel_path, md5(coalesce(content, '')) AS h, ingested_at < half AS early, row_number() OVER (PARTITION BY repo_id, rel_path, ingested_at < half ORDER BY ingested_at DESC, file_id DESC) AS back FROM source_files, m),
+    o AS (SELECT repo_id, rel_path, h AS old_hash FROM r WHERE back = 1 AND early), w AS (SELECT repo_id, rel_path, h AS new_hash FROM r WHERE back = 1 AND NOT early),
     ch AS (SELECT repo_id, rel_path, old_hash, new_hash, CASE WHEN old_hash IS NULL THEN 'added' WHEN new_hash IS NULL THEN 'deleted' WHEN old_hash <> new_hash THEN 'modified' ELSE 'unchanged' END AS change
       FROM o FULL JOIN w USING (repo_id, rel_path))"""
 
 
 def _sync(spark: SparkSession, folder: str) -> DataFrame:
-    """First against last ingestion of each file; one folder counts as new, one as deleted, so that every change occurs."""
-    f = t(spark, folder, "source_files").withColumn("hash", F.md5(F.coalesce("content", F.lit(""))))
-    order = F.struct("ingested_at", "file_id")
-    both = f.groupBy("repo_id", "rel_path").agg(F.min_by("hash", order).alias("old"), F.max_by("hash", order).alias("new"))
-    old = both.where("rel_path NOT LIKE 'tests/%'").select("repo_id", "rel_path", F.col("old").alias("hash"))
-    new = both.where("rel_path NOT LIKE 'tools/%'").select("repo_id", "rel_path", F.col("new").alias("hash"))
-    return incremental.changes(old, new)
+    """What was ingested in the first half of the time against what was in the second."""
+    f = t(spark, folder, "source_files")
+    low, high = f.select(F.unix_micros("ingested_at").alias("u")).agg(F.min("u"), F.max("u")).first()
+    early = F.unix_micros("ingested_at") < ((low or 0) + (high or 0)) // 2
+    return incremental.changes(incremental.hashes(repository.latest(f.where(early))), incremental.hashes(repository.latest(f.where(~early))))
 
 
 @query(f"WITH {_SYNC_SQL} SELECT * FROM ch")
@@ -722,10 +871,124 @@ def upsert_repositories(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT repo_id, report_id, created_at, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(created_at, 0) DESC, report_id) AS place FROM bug_reports")
 def history_newest(spark: SparkSession, folder: str) -> DataFrame:
     """COL-3, PAT-15, BUG-9, RET-15: each repository's reports, newest first."""
-    from pyspark.sql import Window
+    return stores.newest(t(spark, folder, "bug_reports"), ["repo_id"], "created_at", "report_id").select("repo_id", "report_id", "created_at", "place")
 
-    order = Window.partitionBy("repo_id").orderBy(F.coalesce("created_at", F.lit(0.0)).desc(), "report_id")
-    return t(spark, folder, "bug_reports").select("repo_id", "report_id", "created_at", F.row_number().over(order).alias("place"))
+
+@query("SELECT report_id, repo_id FROM bug_reports WHERE error_type = 'KeyError' ORDER BY report_id LIMIT 1")
+def collection_first(spark: SparkSession, folder: str) -> DataFrame:
+    """COL-2: the first match in the order of insertion."""
+    return stores.find_first(t(spark, folder, "bug_reports"), "report_id", error_type="KeyError").select("report_id", "repo_id")
+
+
+@query("""
+SELECT 'reports' AS collection, repo_id, count(*) AS n, sum(report_id)::BIGINT AS ids FROM (SELECT * FROM bug_reports UNION ALL SELECT * FROM bug_reports WHERE user_id IS NULL) GROUP BY repo_id
+UNION ALL SELECT 'odd/name', repo_id, count(*), sum(file_id)::BIGINT FROM source_files GROUP BY repo_id
+""")
+def stored_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK-1, SNK-2, SNK-3, SRC-12, SRC-13: saved by repository, rows inserted, a name with a slash, read again; a missing one is None."""
+    store = scratch(spark, "store")
+    reports, files = t(spark, folder, "bug_reports"), t(spark, folder, "source_files").select("repo_id", "file_id")
+    stores.save(reports, store, "reports", None)
+    stores.insert(reports.where("user_id IS NULL"), store, "reports")
+    stores.save(files, store, "odd/name")
+    if stores.load(spark, store, "missing") is not None:
+        raise AssertionError("a missing collection was found")
+    both = stores.load(spark, store, "reports").select(F.lit("reports").alias("collection"), "repo_id", F.col("report_id").alias("id"))
+    both = both.unionByName(stores.load(spark, store, "odd/name").select(F.lit("odd/name").alias("collection"), "repo_id", F.col("file_id").alias("id")))
+    return both.groupBy("collection", "repo_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("""
+SELECT repo_id, rel_path, md5(coalesce(content, '')) AS hash FROM source_files
+QUALIFY row_number() OVER (PARTITION BY repo_id, rel_path ORDER BY ingested_at DESC, md5(coalesce(content, ''))) = 1
+""")
+def streamed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """INC-2, INC-3, INC-5 as a stream: the rows of all files through the stored table; what is left is the last of each file."""
+    from srclake.streaming import sync
+
+    home = scratch(spark, "stream")
+    rows = spark.readStream.schema(t(spark, folder, "source_files").schema).parquet(f"{folder}/source_files*.parquet")
+    rows = rows.select("repo_id", "path", "rel_path", "language", "content", "ingested_at")
+    sync.sync(rows, f"{home}/store", f"{home}/checkpoint").awaitTermination()
+    return stores.load(spark, f"{home}/store", "files").select("repo_id", "rel_path", F.md5(F.coalesce("content", F.lit(""))).alias("hash"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def streamed_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by window and type with a watermark, as a stream that ends with its input."""
+    from srclake.streaming import sync
+
+    home = scratch(spark, "activity")
+    events = spark.readStream.schema(t(spark, folder, "events").schema).parquet(f"{folder}/events*.parquet")
+    out = lambda df, batch: df.write.mode("overwrite").parquet(f"{home}/out")
+    made = sync.activity(events.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").foreachBatch(out).option("checkpointLocation", f"{home}/checkpoint")
+    made.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT md5(rel_path) AS hash, repo_id AS author, rel_path AS subject, epoch_us(ingested_at)::VARCHAR AS "when" FROM source_files WHERE NOT contains(rel_path, '|')""")
+def git_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-9: lines of a log, put together from the files' rows, as rows again."""
+    log = t(spark, folder, "source_files").select(F.concat_ws("|", F.md5("rel_path"), "repo_id", "rel_path", F.unix_micros("ingested_at").cast("string")).alias("line"))
+    return history.commits(log)
+
+
+@query("SELECT repo_id AS branch FROM repositories")
+def git_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-10: a listing of branches, the present one with a star."""
+    return history.branches(t(spark, folder, "repositories").select(F.concat(F.when(F.col("backend").isNull(), "* ").otherwise("  "), "repo_id").alias("line")))
+
+
+@query("SELECT rel_path FROM source_files WHERE NOT regexp_matches(rel_path, '\\s')")
+def git_status(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-11: porcelain status lines."""
+    files = t(spark, folder, "source_files").where(~F.col("rel_path").rlike(r"\s"))
+    return history.changed_files(files.select(F.concat(F.when(F.col("language").isNull(), "?? ").otherwise(" M "), "rel_path").alias("line")))
+
+
+_SCANNED = f"""
+SELECT rel_path, {sql_language("rel_path", CORE)} AS language, md5(content) AS hash FROM source_files
+WHERE content IS NOT NULL AND NOT list_has_any(string_split(rel_path, '/')[:-2], ['{_IGNORED}']) AND {sql_language("rel_path", CORE)} <> 'unknown' AND NOT contains(rel_path, chr(92))
+QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY file_id) = 1
+"""
+
+
+@query(_SCANNED)
+def scanned_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-1, SRC-2, SRC-3, SRC-7: the files written out as a tree (the first of each path, by the executors), and scanned."""
+    home = scratch(spark, "tree")
+    first = t(spark, folder, "source_files").where(F.col("content").isNotNull() & ~F.contains("rel_path", F.lit("\\")))
+    first = first.groupBy("rel_path").agg(F.min_by("content", "file_id").alias("content"))
+
+    def write(frames):
+        import os
+
+        for frame in frames:
+            for path, text in zip(frame["rel_path"], frame["content"]):
+                target = f"{home}/{path}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield frame[["rel_path"]]
+
+    first.mapInPandas(write, "rel_path string").count()
+    return repository.scan(spark, home).select("rel_path", "language", F.md5("content").alias("hash"))
+
+
+@query("SELECT doc_id, count(*) AS texts FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY doc_id")
+def remote_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """EMB-5, EMB-6, EMB-7: vectors of an injected model; each text's vector says that it was sent, blank ones have zeros."""
+    client = lambda batch: [[1.0 if x.strip() else 0.0, float(len(x))] for x in batch]
+    made = embedding.backend("remote", client, 2)(t(spark, folder, "documents"), "doc_id", "text")
+    return made.where(F.col("embedding")[0] == 1.0).groupBy("doc_id").agg(F.count("*").alias("texts"))
+
+
+@query("SELECT NULL::VARCHAR AS term, NULL::BIGINT AS df WHERE false")
+def blank_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """EMB-4: a corpus of blank texts has an empty vocabulary, and so no weight and no hit."""
+    blank = t(spark, folder, "documents").select("repo_id", "doc_id", F.lit("  ").alias("text"))
+    model, counts = embedding.fit(blank, ["repo_id"], "doc_id")
+    return model.join(embedding.transform(counts, model, ["repo_id"], "doc_id").select("term").distinct(), "term", "full").select("term", "df")
 
 
 @query("SELECT report_id FROM bug_reports WHERE user_id IS NULL AND error_type IS NOT DISTINCT FROM 'KeyError'")
@@ -765,17 +1028,73 @@ def code_block_extract(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", F.md5("x.code").alias("code_hash"), F.md5("x.explanation").alias("prose_hash"))
 
 
+def _tag_sql(c: str) -> str:
+    bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    rows = sql_lines(c)
+    return f"CASE WHEN {c} = '' THEN {c} WHEN lower({bare(f'coalesce(({rows})[1], {chr(39) * 2})')}) IN ('{"', '".join(patches.TAGS)}') THEN {bare(f'array_to_string(({rows})[2:], chr(10))')} ELSE {bare(c)} END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Python' || chr(10) || text WHEN 1 THEN 'json ' || chr(10) || text ELSE text END AS c FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5({_tag_sql("c")}) AS code_hash FROM d
+""")
+def tag_strip(spark: SparkSession, folder: str) -> DataFrame:
+    """PAT-7: each document with a tag line before it, or without one."""
+    d = t(spark, folder, "documents").where("text IS NOT NULL")
+    tag = F.when(F.col("doc_id") % 3 == 0, "Python\n").when(F.col("doc_id") % 3 == 1, "json \n").otherwise("")
+    return d.select("doc_id", F.md5(patches.strip_tag(F.concat(tag, "text"))).alias("code_hash"))
+
+
 @query("""
-WITH l AS (SELECT repo_id, rel_path, content FROM source_files WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id, rel_path ORDER BY ingested_at DESC, file_id DESC) = 1)
-SELECT chunk_seq, md5(CASE WHEN code = '' THEN '#PATCH#' || content ELSE content[:instr(content, code) - 1] || '#PATCH#' || content[instr(content, code) + length(code):] END) AS merged_hash
-FROM chunks c JOIN l ON l.repo_id = c.repo_id AND l.rel_path = c.file_path WHERE contains(content, code) AND lower(trim(kind)) IN ('function', 'method')
+SELECT chunk_seq, regexp_replace(coalesce(code, ''), '^\\s+|\\s+$', '', 'g') <> regexp_replace(coalesce(docstring, ''), '^\\s+|\\s+$', '', 'g') AS changed FROM chunks
+""")
+def patch_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """PAT-11, with code and docstring as old and new."""
+    empty = F.lit("")
+    return t(spark, folder, "chunks").select("chunk_seq", patches.has_changes(F.coalesce("code", empty), F.coalesce("docstring", empty)).alias("changed"))
+
+
+@query("""
+SELECT report_id, repo_id, 'approved' AS status, coalesce(error_report, '') = '' AS was_empty FROM bug_reports WHERE report_id = (SELECT max(report_id) FROM bug_reports)
+""")
+def patch_status(spark: SparkSession, folder: str) -> DataFrame:
+    """PAT-13: one patch's new status, edited by hand; each report stands for a patch of its text."""
+    b = t(spark, folder, "bug_reports")
+    last = b.agg(F.max("report_id")).first()[0]
+    made = b.select(F.col("report_id").cast("string").alias("patch_id"), "report_id", "repo_id", F.lit("a.py").alias("target_file"), F.coalesce("error_report", F.lit("")).alias("original_code"), F.lit("").alias("suggested_patch"), F.lit("").alias("git_diff"), F.lit("pending").alias("status"))
+    row = patches.set_status(made, str(last), "approved", "x = 1\n")
+    kept = row.where("suggested_patch = 'x = 1\n' AND git_diff LIKE 'diff --git a/a.py b/a.py%+x = 1%'")
+    return kept.select("report_id", "repo_id", "status", (F.col("original_code") == "").alias("was_empty"))
+
+
+@query("SELECT count(*) AS failures, 'failed' AS status, 0.0::DOUBLE AS score FROM (SELECT 1)")
+def patch_failure(spark: SparkSession, folder: str) -> DataFrame:
+    """PAT-14: the record of a patch that could not be made."""
+    made = patches.failure(spark, t(spark, folder, "repositories").agg(F.min("repo_id")).first()[0], None, "no context").where("target_file = 'unknown'")
+    return made.groupBy("status").agg(F.count("*").alias("failures"), F.max("confidence_score").alias("score"))
+
+
+_BY_LINE = f"""
+  s AS (SELECT *, {sql_lines("content")} AS rows, {sql_lines("code")} AS own FROM j),
+  z AS (SELECT *, greatest(1, start_line) AS first, len(own) AS size FROM s),
+  y AS (SELECT *, first - 1 + size <= len(rows) AND regexp_replace(array_to_string(rows[first:first + size - 1], chr(10)), '^\\s+|\\s+$', '', 'g') = regexp_replace(array_to_string(own, chr(10)), '^\\s+|\\s+$', '', 'g') AS fits FROM z)"""
+
+
+@query(f"""
+WITH l AS (SELECT repo_id, rel_path, content FROM source_files WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id, rel_path ORDER BY ingested_at DESC, file_id DESC) = 1),
+  j AS (SELECT chunk_seq, start_line, content, CASE WHEN chunk_seq % 2 = 0 THEN code ELSE code || ' ' END AS code FROM chunks c JOIN l ON l.repo_id = c.repo_id AND l.rel_path = c.file_path WHERE lower(trim(kind)) IN ('function', 'method') AND code IS NOT NULL), {_BY_LINE}
+SELECT chunk_seq, md5(CASE WHEN code = '' THEN '#PATCH#' || content WHEN contains(content, code) THEN content[:instr(content, code) - 1] || '#PATCH#' || content[instr(content, code) + length(code):]
+  WHEN fits THEN array_to_string(list_concat(list_concat(rows[:first - 1], ['#PATCH#']), rows[first + size:]), chr(10)) || CASE WHEN first + size > len(rows) OR regexp_matches(content, '[\\n\\r]\\z') THEN chr(10) ELSE '' END END) AS merged_hash
+FROM y
 """)
 def snippet_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """PAT-12: every function and method that stands in its file, replaced by a mark."""
+    """PAT-12: every function and method replaced in its file by a mark, every other with a blank too many, which only fits by line;
+    NULL where it does not stand there."""
     files = repository.latest(t(spark, folder, "source_files").where("content IS NOT NULL")).select("repo_id", F.col("rel_path").alias("file_path"), "content")
-    c = t(spark, folder, "chunks").where(F.lower(F.trim("kind")).isin("function", "method")).select("repo_id", "file_path", "chunk_seq", "code", "start_line")
-    joined = c.join(files, ["repo_id", "file_path"]).where(F.contains("content", "code"))
-    return joined.select("chunk_seq", F.md5(patches.merge_snippet(F.col("content"), F.col("code"), F.lit("#PATCH#"), F.col("start_line"))).alias("merged_hash"))
+    c = t(spark, folder, "chunks").where(F.lower(F.trim("kind")).isin("function", "method") & F.col("code").isNotNull())
+    c = c.select("repo_id", "file_path", "chunk_seq", F.concat("code", F.when(F.col("chunk_seq") % 2 == 0, "").otherwise(" ")).alias("code"), "start_line")
+    merged = patches.merge_snippet(F.col("content"), F.col("code"), F.lit("#PATCH#"), F.col("start_line"))
+    return c.join(files, ["repo_id", "file_path"]).select("chunk_seq", F.md5(merged).alias("merged_hash"))
 
 
 @query()
@@ -797,3 +1116,15 @@ def syntax_check(spark: SparkSession, folder: str) -> DataFrame:
 
     files = t(spark, folder, "source_files").where((detect("rel_path") == "python") & F.col("content").isNotNull())
     return files.select("file_id", python_syntax_error("content").alias("error"))
+
+
+@query("""
+SELECT file_id FROM source_files f SEMI JOIN (SELECT repo_id, file_path FROM chunks WHERE lower(trim(kind)) <> 'block') c ON c.repo_id = f.repo_id AND c.file_path = f.rel_path
+WHERE ends_with(rel_path, '.py') AND content IS NOT NULL
+""")
+def syntax_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """PAT-8: Python files that parse and define something at the margin; those the supplied chunks were cut from."""
+    from srclake.functions.pythoncode import python_syntax_error
+
+    files = t(spark, folder, "source_files").where((detect("rel_path") == "python") & F.col("content").isNotNull())
+    return files.where(F.col("content").rlike(r"(?m)^(?:async def|def|class)\b")).withColumn("error", python_syntax_error("content")).where("error IS NULL").select("file_id")

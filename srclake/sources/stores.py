@@ -71,7 +71,7 @@ def find_first(df: DataFrame, seq: str, **equal) -> DataFrame:
 
 def newest(df: DataFrame, by: list[str], time: str = "created_at", tie: str | None = None) -> DataFrame:
     """COL-3, PAT-15, BUG-9, RET-15: rows with their place in each group, newest first; a missing time counts as 0."""
-    order = [F.coalesce(F.col(time), F.lit(0.0)).desc(), *[F.col(tie)] * bool(tie)]
+    order = [F.coalesce(F.col(time), F.lit(0.0)).desc(), *([F.col(tie)] if tie else [])]
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 

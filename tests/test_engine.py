@@ -30,6 +30,7 @@ def test_engine(spark, tmp_path):
     assert asked["intent"] == "login" and asked["relevant_files"] and 0.35 <= asked["confidence_score"] <= 0.98
     assert {"src": "pkg/login.py", "dst": "pkg/store.py", "relationship": "imports"} in asked["dependency_relationships"]
     assert "lone.py" in e.ask("demo", "find dead code")["answer"]
+    assert asked["functions"] and set(asked["functions"]) <= {"Gate.login", "find_user"}
     assert "4 source files" in e.ask("demo", "overview please")["answer"]
     report = 'Traceback:\n  File "pkg/store.py", line 6, in find_user\nKeyError: \'bob\''
     found = e.localize("demo", report)
@@ -67,11 +68,27 @@ def test_sync_equals_rebuild(spark, tmp_path):
     assert rows(e.tables("demo")["chunks"].select(*columns)) == rows(fresh.tables("demo")["chunks"].select(*columns))
 
 
+def test_repository_is_ingested_again(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    from srclake.plans.engine import UnknownRepository
+
+    make(spark, tmp_path)
+    shutil.rmtree(tmp_path / "store" / "files%2Fdemo")
+    again = Engine(spark, str(tmp_path / "store"))
+    assert again.tables("demo")["files"].count() == 4
+    with pytest.raises(UnknownRepository):
+        again.tables("nothing")
+
+
 def test_model_answers(spark, tmp_path):
     prompts = []
     e, _ = make(spark, tmp_path, generate=lambda p: prompts.append(p) or "```python\nfixed = 1\n```\nBecause.")
     assert e.ask("demo", "what does find_user do")["answer"].startswith("```") and "Question: what does find_user do" in prompts[0]
     patch = e.generate_patch("demo", "KeyError in find_user")
+    assert "Error type: KeyError" in prompts[1] and "### pkg/store.py :: find_user" in prompts[1]
     assert patch["llm_generated"] and patch["snippet_patch"] == "fixed = 1" and patch["explanation"] == "Because."
 
 
@@ -87,5 +104,10 @@ def test_stream(spark, tmp_path):
     put("2.json", ("a", "2", 3), ("b", "9", 3))
     assert rows(spark.read.parquet(f"{store}/files").select("rel_path", "content")) == [("a", "2"), ("b", "9")]
     assert rows(spark.read.parquet(f"{store}/changes").select("rel_path", "change")) == [("a", "added"), ("b", "added"), ("b", "modified")]
+    # A batch that failed between its changes and the table is run again: nothing is lost, nothing is doubled.
+    (tmp_path / "cp/commits/1").unlink()
+    sync.sync(sync.read(spark, str(source)), store, str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(f"{store}/changes").select("rel_path", "change")) == [("a", "added"), ("b", "added"), ("b", "modified")]
+    assert rows(spark.read.parquet(f"{store}/files").select("rel_path", "content")) == [("a", "2"), ("b", "9")]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert sync.activity(events).agg(F.sum("n")).first()[0] == events.count()
