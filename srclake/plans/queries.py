@@ -953,9 +953,8 @@ QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY file_id) = 1
 """
 
 
-@query(_SCANNED)
-def scanned_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-1, SRC-2, SRC-3, SRC-7: the files written out as a tree (the first of each path, by the executors), and scanned."""
+def _tree(spark: SparkSession, folder: str) -> str:
+    """The files written out as a tree in the shared folder: the first of each path, by the executors."""
     home = scratch(spark, "tree")
     first = t(spark, folder, "source_files").where(F.col("content").isNotNull() & ~F.contains("rel_path", F.lit("\\")))
     first = first.groupBy("rel_path").agg(F.min_by("content", "file_id").alias("content"))
@@ -972,7 +971,100 @@ def scanned_tree(spark: SparkSession, folder: str) -> DataFrame:
             yield frame[["rel_path"]]
 
     first.mapInPandas(write, "rel_path string").count()
-    return repository.scan(spark, home).select("rel_path", "language", F.md5("content").alias("hash"))
+    return home
+
+
+@query(_SCANNED)
+def scanned_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-1, SRC-2, SRC-3, SRC-7: the files written out as a tree, and scanned."""
+    return repository.scan(spark, _tree(spark, folder)).select("rel_path", "language", F.md5("content").alias("hash"))
+
+
+@query(f"""
+WITH s AS ({_SCANNED}), n AS (SELECT count(*) AS n FROM s)
+SELECT 'files' AS what, n::VARCHAR AS value FROM n UNION ALL SELECT 'stored files', n::VARCHAR FROM n UNION ALL SELECT 'owner', 'me'
+UNION ALL SELECT 'unknown repository', 'true' UNION ALL SELECT 'intent', 'login' UNION ALL SELECT 'error type', 'KeyError' UNION ALL SELECT 'questions', '1'
+UNION ALL SELECT 'reports', '1' UNION ALL SELECT 'model was asked', 'true' UNION ALL SELECT 'answer', 'done' UNION ALL SELECT 'snippets', '5' UNION ALL SELECT 'sync without change', '0' UNION ALL SELECT 'sync after a change', 'added' UNION ALL SELECT 'files after it', (n + 1)::VARCHAR FROM n
+""")
+def engine_session(spark: SparkSession, folder: str) -> DataFrame:
+    """COL-4, COL-5, RET-12, RET-14, RET-15, BUG-9, INC-4, INC-5: the whole tree as one repository that is known by its path alone:
+    ingested when it is first asked for, asked with a model, localized, and synchronized."""
+    from srclake.plans.engine import Engine, UnknownRepository
+
+    home, asked_ = _tree(spark, folder), []
+    engine = Engine(spark, scratch(spark, "engine"), generate=lambda question: asked_.append(question) or "done")
+    engine._put("repositories", {"repo_id": "all", "repo_path": home, "owner_id": "me"}, ["repo_id"])
+    files = engine.tables("all")["files"].count()
+    stored = engine.list_repos().first()
+    told = engine.ask("all", "how does login check the `password`?", 5)
+    report = engine.localize("all", "KeyError: 'name'")
+    try:
+        engine.tables("none")
+        unknown = False
+    except UnknownRepository:
+        unknown = True
+    still = len(engine.sync("all", home))
+
+    def write(frames):
+        for frame in frames:
+            with open(f"{home}/added_by_sync.py", "w") as f:
+                f.write("def added():\n    return 1\n")
+            yield frame
+
+    spark.range(1).mapInPandas(write, "id bigint").count()
+    changed = engine.sync("all", home)
+    rows = [
+        ("files", files), ("stored files", stored["num_files"]), ("owner", stored["owner_id"]), ("unknown repository", str(unknown).lower()), ("intent", told["intent"]),
+        ("error type", report["error_type"]), ("questions", engine.history("chat", "all").count()), ("reports", engine.history("bugs", "all").count()), ("model was asked", str(len(asked_) == 1 and "Question: how does login" in asked_[0]).lower()),
+        ("answer", told["answer"]), ("snippets", len(told["code_snippets"])), ("sync without change", still), ("sync after a change", ",".join(r["change"] for r in changed)), ("files after it", engine.tables("all")["files"].count()),
+    ]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "what string, value string")
+
+
+@query("""
+SELECT 'no such file' AS what, false AS success UNION ALL SELECT 'outside', false UNION ALL SELECT 'empty diff', false UNION ALL SELECT 'dry run', true UNION ALL SELECT 'unchanged by it', true UNION ALL SELECT 'applied', true
+UNION ALL SELECT 'replaced', true UNION ALL SELECT 'backup kept', true UNION ALL SELECT 'read with bad bytes', true UNION ALL SELECT 'empty repository', true UNION ALL SELECT 'cloned', true UNION ALL SELECT 'pulled', true
+""")
+def patched_files(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK-6, SNK-7, PAT-2, PAT-9, SRC-6, SRC-8, SRC-14: a file on the driver's disk, patched in each way; a repository cloned and pulled."""
+    import os
+    import subprocess
+    import tempfile
+
+    from srclake.functions.pythoncode import diff_of
+    from srclake.sources import files as disk
+
+    with tempfile.TemporaryDirectory() as home:
+        path, out = os.path.join(home, "a.py"), {}
+        with open(path, "w") as f:
+            f.write("x = 1\n")
+        out["no such file"] = disk.write_patched(home, "b.py", "")["success"]
+        out["outside"] = disk.write_patched(home, "../a.py", "")["success"]
+        out["empty diff"] = disk.apply_diff(home, " ")["valid"]
+        diff = diff_of("x = 1\n", "x = 2\n", "a.py")
+        out["dry run"] = disk.apply_diff(home, diff, check_only=True)["valid"]
+        out["unchanged by it"] = open(path).read() == "x = 1\n"
+        applied = disk.apply_diff(home, diff)
+        out["applied"] = applied["valid"] and (applied["skipped"] or open(path).read() == "x = 2\n")
+        done = disk.write_patched(home, "a.py", "x = 3\n")
+        out["replaced"] = done["success"] and open(path).read() == "x = 3\n"
+        out["backup kept"] = os.path.exists(done["backup"])
+        with open(path, "wb") as f:
+            f.write(b"a\xffb")
+        out["read with bad bytes"] = repository.read_path(spark, "file:" + home, "a.py").first()["content"] == "a\ufffdb"
+        try:
+            repository.require(t(spark, folder, "source_files").where("false"))
+            out["empty repository"] = False
+        except repository.EmptyRepository:
+            out["empty repository"] = True
+        one, two = os.path.join(home, "one"), os.path.join(home, "two")
+        git = ["git", "-C", one, "-c", "user.name=n", "-c", "user.email=n@example.test"]
+        for command in (["git", "init", "-q", one], [*git, "commit", "-q", "--allow-empty", "-m", "first"]):
+            subprocess.run(command, check=True, capture_output=True)
+        out["cloned"] = history.clone("file://" + one, two)
+        subprocess.run([*git, "commit", "-q", "--allow-empty", "-m", "second"], check=True, capture_output=True)
+        out["pulled"] = history.clone("file://" + one, two) and len(history.git_lines(two, "log", "--format=%s")) == 2
+    return spark.createDataFrame([(k, bool(v)) for k, v in out.items()], "what string, success boolean")
 
 
 @query("SELECT doc_id, count(*) AS texts FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY doc_id")
