@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column | str) -> Column:
     """array<string>: '' has no line, and a final line end opens no further one; NULL stays NULL."""
     c = _col(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclake.functions.pythoncode import python_syntax_error, unified_diff
-from srclake.functions.text import clamp, contains_any, lines
+from srclake.functions.text import clamp, contains_any, let, lines
 
 # Fences, language tags, signs of code and default texts.
 FENCE = r"(?s)```(?:\w+)?\s*\n(.*?)```"
@@ -51,13 +51,16 @@ def merge_snippet(full: Column, snippet: Column, patch: Column, start_line: Colu
     blanks; else NULL."""
     at = F.when(snippet == "", 1).otherwise(F.instr(full, snippet))
     exact = F.concat(F.substring(full, F.lit(1), at - 1), patch, F.substring(full, at + F.length(snippet), F.length(full)))
-    rows, size = lines(full), F.size(lines(snippet))
-    first = F.greatest(F.lit(1), start_line)
-    fits = (first - 1 + size <= F.size(rows)) & (strip(F.array_join(F.slice(rows, first, size), "\n")) == strip(F.array_join(lines(snippet), "\n")))
-    rest = F.slice(rows, first + size, F.greatest(F.size(rows), F.lit(1)))
-    by_line = F.array_join(F.concat(F.slice(rows, F.lit(1), first - 1), F.array(patch), rest), "\n")
-    ended = F.when((F.size(rest) == 0) | full.rlike(r"[\n\r]\z"), F.concat(by_line, F.lit("\n"))).otherwise(by_line)
-    return F.when(at > 0, exact).when(fits, ended)
+    own, first = lines(snippet), F.greatest(F.lit(1), start_line)
+
+    def by_line(x: Column) -> Column:
+        rows, size = x["rows"], F.size(x["own"])
+        fits = (first - 1 + size <= F.size(rows)) & (strip(F.array_join(F.slice(rows, first, size), "\n")) == strip(F.array_join(x["own"], "\n")))
+        rest = F.slice(rows, first + size, F.greatest(F.size(rows), F.lit(1)))
+        joined = F.array_join(F.concat(F.slice(rows, F.lit(1), first - 1), F.array(patch), rest), "\n")
+        return F.when(fits, F.when((F.size(rest) == 0) | full.rlike(r"[\n\r]\z"), F.concat(joined, F.lit("\n"))).otherwise(joined))
+
+    return F.when(at > 0, exact).when(at == 0, let(F.struct(lines(full).alias("rows"), own.alias("own")), by_line))
 
 
 def has_changes(old: Column, new: Column) -> Column:
