@@ -15,8 +15,8 @@ from functools import cache
 from srclake.llm.grammars import GRAMMARS, SOFT_END, expand, parse
 
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
-#: Sets of readings kept before all are given up and found anew; bounds memory, not what is read.
-KEPT = 100_000
+#: Sets of readings, and points in them, kept before all are given up and found anew; bounds memory, not what is read.
+KEPT, POINTS = 100_000, 1_000_000
 
 
 class _Readings(dict):
@@ -43,13 +43,16 @@ class Reductions:
         for rule, alternatives in rules.items():
             self.starts[rule] = self._tree([self._fold(seq) for seq in alternatives])
         self.loops: dict[tuple, int] = {}
+        self.file = 1 << len(self.role_starts)
+        self._begin()
+
+    def _begin(self) -> None:
+        """Nothing is known yet but where texts begin."""
         self.ids: dict[tuple[int, int], int] = {}
         self.points: list[tuple[int, int]] = []  # (node, point to go on with; -1 - role where a group ends)
         self.known: dict[int, tuple] = {}
         self.sets: dict[frozenset[int], _Readings] = {}
-        whole = len(self.role_starts)
-        self.first = frozenset({self._point(self.starts["file"], -1 - whole)})
-        self.file = 1 << whole
+        self.first = frozenset({self._point(self.starts["file"], -1 - len(self.role_starts))})
         self.groups = {b: frozenset(self._point(n, -1 - r) for r, (o, n) in enumerate(self.role_starts) if o == b) for b in _CLOSER}
 
     def _fold(self, seq: list[str]) -> list:
@@ -171,8 +174,8 @@ class Reductions:
 
     def broken(self, classes: str) -> int | None:
         """Where the classes stop being a text of the language; None if they never do, or if brackets do not match."""
-        if len(self.sets) > KEPT:
-            self.sets.clear()
+        if len(self.sets) > KEPT or len(self.points) > POINTS:
+            self._begin()
         s = self.readings(self.first)
         groups = {b: self.readings(items) for b, items in self.groups.items()}
         stack: list[tuple[_Readings, str]] = []
