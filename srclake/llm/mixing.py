@@ -107,7 +107,8 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int, seed: i
     while True:
         drawn = _draw(sizes, counts, max(0, rest - left_open) / total, rest, rng)
         gap = (rest - int((drawn * sizes).sum())) // unit
-        order = rng.permutation(len(sizes))
+        # Lengths near the mean come first, so that what closes the gap is made of few and usual ones.
+        order = np.argsort(np.abs(np.log(sizes * (counts.sum() / total))) + 0.5 * rng.random(len(sizes)))
         fits = [k for k in order.tolist() if drawn[k] < counts[k] and sizes[k] <= gap * unit]
         if nearest >= 0 and (gap > TABLE or gap * len(fits) > CELLS):
             break
@@ -131,9 +132,10 @@ def _draw(sizes, counts, share: float, most: int, rng):
     wanted = counts * share
     taken = np.floor(wanted).astype(np.int64)
     cumulated = np.cumsum(wanted - taken)
-    strata = int(cumulated[-1])
-    if strata:
-        points = np.arange(strata) + rng.random(strata)
+    strata = int(np.ceil(cumulated[-1]))
+    points = np.arange(strata) + rng.random(strata)
+    points = points[points < cumulated[-1]]  # the last stratum, of the longest, counts by how much of it there is
+    if len(points):
         hits = np.minimum(np.searchsorted(cumulated, points, side="right"), len(sizes) - 1)
         taken = np.minimum(taken + np.bincount(hits, minlength=len(sizes)), counts)
     over = int((taken * sizes).sum()) - most
