@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from srclake.llm.common import TOKENIZER_DIR, encoder, key_text, map_rows, stable
 
-#: Mean lengths that are left open to the table at first.
-OPEN = 2
+#: Mean lengths that are left open to the table at first, and draws that are tried before more is left open.
+OPEN, DRAWS = 2, 8
 #: Sums and steps (sums times lengths) up to which a table over a whole budget is run.
 TABLE, CELLS = 1 << 21, 1 << 28
 #: Documents of one source and length that are ranked together.
@@ -103,7 +103,7 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int, seed: i
     counts = np.array([n for _, n in histogram], dtype=np.int64)
     left_open = OPEN * -(-total // int(counts.sum()))
     best: dict[int, int] = {}
-    nearest = -1
+    nearest, tried = -1, 0
     while True:
         drawn = _draw(sizes, counts, max(0, rest - left_open) / total, rest, rng)
         gap = (rest - int((drawn * sizes).sum())) // unit
@@ -119,9 +119,11 @@ def fit(histogram: list[tuple[int, int]], budget: int, max_repeats: int, seed: i
             for size, k in filled.items():
                 best[size * unit] = best.get(size * unit, 0) + k
             nearest = sum(size * k for size, k in best.items())
-        if nearest > rest - unit or left_open >= rest:
+        tried += 1
+        if nearest > rest - unit or left_open >= rest and tried >= DRAWS:
             break
-        left_open *= 4
+        if tried % DRAWS == 0:
+            left_open *= 4
     return passes, best
 
 
