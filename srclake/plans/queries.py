@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from srclake.functions import text as T
 from srclake.functions.languages import CORE, EXTENDED, detect, detect_for_patch
 from srclake.operators import analytics, bugs, chunking, docs, embedding, graph_build, graph_query, incremental, patches, retrieval, review, traces, vectors
-from srclake.plans.lineage import scratch
+from srclake.plans.lineage import local_path, scratch
 from srclake.sources import history, repository, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -955,7 +955,7 @@ QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY file_id) = 1
 
 def _tree(spark: SparkSession, folder: str) -> str:
     """The files written out as a tree in the shared folder: the first of each path, by the executors."""
-    home = scratch(spark, "tree")
+    home = local_path(scratch(spark, "tree"))
     first = t(spark, folder, "source_files").where(F.col("content").isNotNull() & ~F.contains("rel_path", F.lit("\\")))
     first = first.groupBy("rel_path").agg(F.min_by("content", "file_id").alias("content"))
 

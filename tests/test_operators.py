@@ -44,6 +44,35 @@ def test_scan(spark, tmp_path):
         repository.require(spark.createDataFrame([], "a int"))
 
 
+def test_scan_of_hidden_odd_and_many(spark, tmp_path):
+    """Names that Spark's file sources hide or escape, more folders than are opened at first, links; ignored folders stay out at any depth."""
+    import os
+
+    names = ["__init__.py", "_vendor/a.c", ".github/b.js", "a b/c%20d#é.go", "p.q/.hid.py", *(f"d{k % 60}/e{k % 7}/f{k}.rs" for k in range(400))]
+    for name in [*names, "d1/e1/node_modules/x/y.py", "_vendor/target/z.c"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nothing")
+    (tmp_path / "linked.py").symlink_to(tmp_path / "__init__.py")
+    os.mkfifo(tmp_path / "pipe.py")
+    got = {r["rel_path"]: r for r in repository.scan(spark, f"file://{tmp_path}", "r").collect()}
+    assert sorted(got) == sorted([*names, "linked.py"]) and all(got[n]["content"] == n and got[n]["path"] == f"{tmp_path}/{n}" for n in names)
+    # What any other file system is read by: the same but for hidden names; not a task for every few files.
+    plain = repository._spark_files(spark, f"file:{tmp_path}/d1", True)
+    assert {r["rel_path"] for r in plain.where("rel_path NOT LIKE '%node_modules%'").collect()} == {n[3:] for n in names if n.startswith("d1/")}
+    with pytest.raises(FileNotFoundError):
+        repository.scan(spark, str(tmp_path / "missing"))
+
+
+def test_local_path():
+    from srclake.plans.lineage import local_path
+
+    assert [local_path(x) for x in ("file:///a/b", "file:/a", "/a/b")] == ["/a/b", "/a", "/a/b"]
+    with pytest.raises(ValueError):
+        local_path("hdfs://host/a")
+
+
 def test_git_text(spark):
     log = spark.createDataFrame([("h|a|s|2 days",), ("h|a|s|x|y",), ("",)], "line string")
     assert rows(history.commits(log)) == [("h", "a", "s", "2 days")]
