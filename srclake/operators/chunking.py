@@ -58,11 +58,13 @@ def chunk(files: DataFrame, chunker: str = "whole_file", fixed: bool = False) ->
     Python goes through the language's own parser; other files are whole-file blocks, or, with ``chunker="symbols"``,
     the symbols found by line. A file that gives none is one block.
     """
-    python = files.where(F.col("language") == "python").select("*", python_chunks("content", "rel_path").alias("cs"))
-    other = files.where(~F.col("language").eqNullSafe("python"))
-    parts = ["repo_id", F.col("rel_path").alias("file_path"), "language", "c.*"]
-    out = python.where("size(cs) > 0").select("*", F.explode("cs").alias("c")).select(*parts)
-    blocks = python.where("size(cs) = 0 OR cs IS NULL").drop("cs")
+    is_python, parts = F.col("language").eqNullSafe("python"), ["repo_id", F.col("rel_path").alias("file_path"), "language"]
+    other = files.where(~is_python)
+    # One pass over all that is not cut by line, so a file is parsed once and the order of files is kept.
+    whole = files.where(is_python) if chunker == "symbols" else files
+    made = file_block(whole.withColumn("cs", python_chunks(F.when(is_python, F.col("content")), "rel_path")))
+    found = F.when(F.size("cs") > 0, F.col("cs")).otherwise(F.array(F.struct(*CHUNK_COLUMNS)))
+    out = made.select(*parts, F.explode(found).alias("c")).select("repo_id", "file_path", "language", "c.*")
     if chunker == "symbols":
         found = symbols(other, ["repo_id", "rel_path", "language"], fixed)
         imports = other.select("repo_id", "rel_path", import_lines("content").alias("imports"))
@@ -72,10 +74,9 @@ def chunk(files: DataFrame, chunker: str = "whole_file", fixed: bool = False) ->
                 "start_line", "end_line", "code", F.lit(None).cast("string").alias("docstring"), "imports",
             )
         )
-        blocks = blocks.unionByName(other.join(found.select("repo_id", "rel_path").distinct(), ["repo_id", "rel_path"], "left_anti"))
-    else:
-        blocks = blocks.unionByName(other)
-    return out.unionByName(file_block(blocks).select("repo_id", F.col("rel_path").alias("file_path"), "language", *CHUNK_COLUMNS))
+        blocks = other.join(found.select("repo_id", "rel_path").distinct(), ["repo_id", "rel_path"], "left_anti")
+        out = out.unionByName(file_block(blocks).select(*parts, *CHUNK_COLUMNS))
+    return out
 
 
 def embedding_text() -> Column:

@@ -66,9 +66,9 @@ def line_edges(files: DataFrame) -> DataFrame:
     return found.select("repo_id", "src", "h.dst", "h.relationship", F.lit(False).alias("internal"), "seq")
 
 
-def edges(files: DataFrame, packages: bool = False) -> DataFrame:
-    """GRF-10: the multigraph, one row per (repo_id, src, dst, relationship)."""
-    found = facts(files)
+def edges(files: DataFrame, packages: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """GRF-10: the multigraph, one row per (repo_id, src, dst, relationship). ``found``: the files' facts, where they are kept."""
+    found = facts(files) if found is None else found
     every = import_edges(found, files, packages).unionByName(symbol_edges(found)).unionByName(line_edges(files))
     return every.groupBy("repo_id", "src", "dst", "relationship").agg(F.max("internal").alias("internal"), F.max("seq").cast("bigint").alias("seq"))
 

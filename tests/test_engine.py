@@ -66,6 +66,21 @@ def test_sync_equals_rebuild(spark, tmp_path):
     fresh.ingest("demo", str(tmp_path / "repo"))
     columns = ["file_path", "kind", "name", "code"]
     assert rows(e.tables("demo")["chunks"].select(*columns)) == rows(fresh.tables("demo")["chunks"].select(*columns))
+    # What was parsed before is kept, and what follows from it is what a rebuild gives; chunk_seq ascends in the order of places.
+    for name in ("facts", "edges"):
+        assert rows(e.tables("demo")[name]) == rows(fresh.tables("demo")[name])
+    for x in (e, fresh):
+        placed = [r[:4] for r in x.tables("demo")["chunks"].orderBy("chunk_seq").select("file_path", "start_line", "name", "end_line").collect()]
+        assert placed == sorted(placed)
+
+
+def test_files_are_parsed_once(spark):
+    from srclake.operators import chunking
+
+    files = spark.createDataFrame([("r", "a.py", "python", "def f(): pass\n"), ("r", "b.py", "python", "x ="), ("r", "c.go", "go", "package c\n"), ("r", "d.py", "python", None)], "repo_id string, rel_path string, language string, content string")
+    made = chunking.chunk(files)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert rows(made.select("file_path", "kind", "name", "code")) == [("a.py", "function", "f", "def f(): pass"), ("b.py", "block", "b.py", "x ="), ("c.go", "block", "c.go", "package c\n"), ("d.py", "block", "d.py", None)]
 
 
 def test_repository_is_ingested_again(spark, tmp_path):
